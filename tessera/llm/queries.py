@@ -23,6 +23,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.judged(toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
@@ -42,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op6_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
