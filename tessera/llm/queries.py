@@ -17,6 +17,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -49,7 +55,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
