@@ -23,6 +23,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -55,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
