@@ -48,6 +48,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import forest
+
+    return forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -61,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op7_embedding_near_dedup, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
