@@ -66,8 +66,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pages
+
+    return pages.digest(pages.extract(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op7_embedding_near_dedup, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op7_embedding_near_dedup, op8_decontamination, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
