@@ -23,6 +23,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.digest(pii.entities(_table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -73,7 +79,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op7_embedding_near_dedup, op8_decontamination, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_ngram_jaccard_join, op4_token_files, op5_toxicity, op6_token_counts, op7_embedding_near_dedup, op8_decontamination, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
