@@ -126,6 +126,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, ke
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, key: str = "item_id", text: str = "text", limit_bytes: int = 32 << 20) -> DataFrame:
+    """The documents, with all their columns, of which less than one word in `share` is hit."""
+    sc, at, schema = docs.sparkSession.sparkContext, docs.columns.index("text"), docs.schema
+    parts = [sc.broadcast(p) for p in chunks(benchmark, key=key, text=text, limit_bytes=limit_bytes)]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [automaton(p.value, window) for p in parts]
+        for whole in stream:
+            for b in pieces(whole, "text"):
+                stay = []
+                for t in b.column(at).to_pylist():
+                    runs = merged([r for m in machines for r in matches(t, m)[0]])
+                    hit = sum(y - x for x, y in runs)
+                    stay.append(not hit or share * hit < len(normalised(t).split()))
+                yield b.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns by which results are compared; contaminated: a twentieth of the words or more is hit."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

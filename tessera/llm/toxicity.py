@@ -209,7 +209,8 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
             x = [model.features(folded(t), machine) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64())], ["y", "a", "b"])
 
-    seen = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(measure, "y int, a double, b double").orderBy("y", "a", "b").collect()])
+    seen = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(measure, "y int, a double, b double").collect()])  # at most max_rows rows
+    seen = seen[np.lexsort(seen.T)]
     x, y = np.column_stack([np.ones(len(seen)), seen[:, 1:]]), seen[:, 0]
     w, penalty = np.zeros(3), np.array([1e-3, 0.05, 0.05])
     for _ in range(50):  # Newton's method
@@ -242,5 +243,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double, n_matches long")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    held, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        machine = m.automaton()
+        for whole in stream:
+            for b in pieces(whole, "text"):
+                yield b.filter(pa.array([m.score(m.features(folded(t), machine)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def judged(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")
