@@ -16,10 +16,19 @@ import numpy as np
 
 #: Letters and punctuation on which the library and Python agree; the apostrophe starts contractions.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: A space beside other white space, or white space at an end: runs of it aren't split at spaces.
-ODD = re.compile(r"\A\s|\s\Z|\s |  |\x20[\s\x1c-\x1f]")
+
+
+class Odd(Exception):
+    """A space beside other white space, or at an end: such runs aren't split at spaces."""
+
+
+def _closed(chunk: str) -> None:
+    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        raise Odd
+
+
 #: Chunks kept in a worker; beyond this the table starts anew.
-KEPT = 1_200_000
+KEPT = 1_500_000
 
 
 def _printable() -> dict[int, str]:
@@ -52,41 +61,58 @@ class Encoder(dict):
             self.kind = "word"
         self.bytes = str.maketrans({chr(b): c for b, c in _printable().items()})
         self.parts: dict[str, bytes] = {}
+        self.as_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.whole.get_vocab_size())].__getitem__
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _model(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]
+        return b"".join(map(self.as_bytes, ids))
+
     def _part(self, piece: str) -> bytes:
-        """A single pre-token."""
+        """A single pre-token that does not stand after a space."""
         out = self.parts.get(piece)
         if out is None:
             if len(self.parts) >= KEPT:
                 self.parts.clear()
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]
-            out = self.parts[piece] = np.array(ids, self.dtype).tobytes()
+            out = self.parts[piece] = self._model(piece)
         return out
 
-    def _chunk(self, chunk: str, space: str) -> bytes:
-        lines = chunk.split("\n")
+    def _lines(self, chunk: str, space: str) -> bytes:
+        """Lines that are parted by single line feeds, with nothing else that is white space."""
         out = []
-        for k, line in enumerate(lines):
+        for k, line in enumerate(chunk.split("\n")):
             m = PLAIN.fullmatch(line)
             if not m:
                 return self._whole(space + chunk)
-            if self.kind == "word":
-                out.append(self._part(m[1].lower()))
-            else:
-                out += [self._part("\n")] * bool(k) + [self._part(m[1] if k else space + m[1])]
+            out += [self._part("\n"), self._part(m[1])] if k else [self[m[1]] if space else self._part(m[1])]
             if m[2]:
                 out.append(self._part(m[2]))
         return b"".join(out)
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self._chunk(chunk, "" if self.kind == "word" else " ")
-        if "\n" not in chunk:
-            if len(self) >= KEPT:
-                self.clear()
-            self[chunk] = out
+        m = PLAIN.fullmatch(chunk)
+        if m and m[2]:
+            known = m[1] in self
+            out = self[m[1]] + self._part(m[2])
+            if known:  # a word met once more with the same mark is worth its place
+                self[chunk] = out
+            return out
+        if not m:
+            if self.kind == "byte":
+                _closed(chunk)
+                if "\n" in chunk:
+                    return self._lines(chunk, " ")
+            out = self._whole(chunk if self.kind == "word" else " " + chunk)
+        elif self.kind == "word":
+            low = chunk.lower()
+            out = self._model(low) if low == chunk else self[low]
+        else:
+            out = self._model(" " + chunk)
+        if len(self) >= KEPT:
+            self.clear()
+        self[chunk] = out
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -96,10 +122,12 @@ class Encoder(dict):
             return self._whole(text)
         if self.kind == "word":
             return b"".join(map(self.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
-        if ODD.search(text):
+        try:
+            first, *rest = text.split(" ")
+            _closed(first)
+            return self._lines(first, "") + b"".join(map(self.__getitem__, rest))
+        except Odd:
             return self._whole(text)
-        first, *rest = text.split(" ")
-        return self._chunk(first, "") + b"".join(map(self.__getitem__, rest))
 
 
 _kept: dict[str, Encoder] = {}
