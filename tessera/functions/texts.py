@@ -22,8 +22,11 @@ BLOCKERS = (
 
 
 def _runs(words: Column, n: int, glue: str) -> Column:
-    """Distinct runs of n elements; none where there are fewer."""
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), glue))))
+    """Distinct runs of n elements. Shifted copies are zipped, as a lambda that captured `words` would work it out for every run."""
+    out = words
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), F.size(words)), lambda a, b: F.concat(a, F.lit(glue), b))
+    return F.array_distinct(F.array_compact(out))
 
 
 def ngrams(text: Column, n: int = 2, stop: tuple[str, ...] = STOP) -> Column:
@@ -35,7 +38,7 @@ def ngrams(text: Column, n: int = 2, stop: tuple[str, ...] = STOP) -> Column:
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k characters of the lower-case text with white space collapsed."""
     s = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))))
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

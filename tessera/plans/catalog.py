@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation
+from . import curation, linking, similarity
 from .registry import ORACLES, QUERIES, Query
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["curation", "oracle_sql", "queries"]
+__all__ = ["curation", "linking", "similarity", "oracle_sql", "queries"]
