@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def company(name: Column) -> Column:
     """Lower case without corporate endings, closing punctuation and a leading article."""
     n = F.lower(name)
     for e in ENDINGS:
-        n = F.when(n.endswith(e), F.left(n, F.length(n) - len(e))).otherwise(n)
+        n = F.regexp_replace(n, re.escape(e) + "$", "")
     n = F.trim(F.regexp_replace(F.trim(n), r"[,.]+$", ""))
     return F.trim(F.regexp_replace(n, r"^the ", ""))
 
