@@ -3,8 +3,8 @@
 In any global order, two sets with Jaccard similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of each. Candidates come from the prefixes of one order; before the sets are compared, a pair
 must also share a prefix shingle in every other order. All orders place frequent shingles last: shingles
-that stand in the first part of many documents are counted over the whole corpus, and the commonest of
-them (a bounded number, which sets the orders and never drops a pair) are broadcast.
+of many documents are counted over the whole corpus, and the commonest of them (a bounded number,
+which sets the orders and never drops a pair) are broadcast.
 
 Equal sets are one representative. A prefix shingle with few representatives gives all their pairs; one with
 many gives the pairs with a pivot. What is not in one class after those pairs were compared gets other pivots
@@ -23,20 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import buckets, hashing
 from .common import pieces, texts, written
 from .components import components
-from .substrings import NONE, _ids, _pick
+from .substrings import FEW, NONE, _ids, _pick, _runs
 
-#: A shingle in this many first parts is frequent; so many of the most frequent are told apart, 8 bytes each.
-FREQUENT, TOLD_APART = 40, 1_000_000
+#: A shingle of this many documents is frequent; so many of the most frequent are told apart, 8 bytes each.
+FREQUENT, TOLD_APART = 16, 1_000_000
 #: Up to so many members a prefix shingle gives all pairs.
-SMALL = 8
+SMALL = 16
 #: Rounds with other pivots before the rest is paired.
-ROUNDS = 3
+ROUNDS = 1
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,14 @@ class Similarity:
     def prefix(self, n: int) -> int:
         return n - -(-n * self.num // self.den) + 1
 
+    def may_hold(self, shared, n, m):
+        """Whether two sets may be similar of whose prefixes (in one order) so many shingles are shared.
+
+        Beyond the prefix that ends first lie at most all the rest of its set; the larger rest is on the safe side.
+        """
+        rest = np.maximum(n - (n - -(-n * self.num // self.den) + 1), m - (m - -(-m * self.num // self.den) + 1))
+        return (shared > 0) & ((self.den + self.num) * (shared + rest) >= self.num * (n + m))
+
     def holds(self, both: int, n: int, m: int) -> bool:
         return self.den * both >= self.num * (n + m - both)
 
@@ -89,7 +98,7 @@ class Orders:
 
 
 def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """One row for each document (doc_id, n, s1, s2: the set's size and two sums of its hashes), and the dealt first parts."""
+    """One row for each document (doc_id, n, s1, s2: the set's size and two sums of its hashes), and all shingles dealt."""
     n_buckets = buckets.count(docs.sparkSession)
     schema = pa.schema([("bucket", pa.int64()), ("runs", pa.binary()), *((c, pa.int64()) for c in ("doc_id", "n", "s1", "s2"))])
 
@@ -106,8 +115,7 @@ def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
                 for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
                     t = shingles(text, sim.k)
                     rows.append((doc, len(t), _signed(hashing.mix(t, 101)), _signed(hashing.mix(t, 102))))
-                    # somewhat more than the prefix, as frequent ones will make room for others
-                    if dealer.add(t[: 8 * sim.prefix(len(t)) // 5]):
+                    if dealer.add(t):
                         yield from dealt()
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], schema=schema)
         yield from dealt()
@@ -134,8 +142,11 @@ def _frequent(dealt: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("key").toLocalIterator()], dtype=np.uint64))
 
 
-def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
-    """a, b: pairs that share a prefix shingle of order 0; or group, a: members of groups of which only pivot pairs are given."""
+def _candidates(docs: DataFrame, sim: Similarity, frequent) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, shared): documents with prefix shingles of order 0 in common, and how many of them were counted.
+
+    And members (group, a) of the groups of which only the pairs with a pivot are given.
+    """
     n_buckets = buckets.count(docs.sparkSession)
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +159,20 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
                     if not len(t) or same in seen:
                         continue  # an equal set has been dealt by this task; equal sets are joined elsewhere
                     seen.add(same)
-                    p = orders.prefix(t, orders.late(t), sim.prefix(len(t)), 0)
-                    if dealer.add(p, np.full(len(p), doc, "<i8")):
+                    late = orders.late(t)
+                    p = orders.prefix(t, late, sim.prefix(len(t)), 0)
+                    if dealer.add(p, np.full(len(p), doc, "<i8"), np.full(len(p), 255 * int((~late).sum()) // len(t), np.uint8)):
                         yield from dealer.rows()
         yield from dealer.rows()
 
     def pair(key: tuple, table: pa.Table) -> pa.Table:
         parts = []
         for blob in table.column("runs").to_pylist():
-            step, doc = buckets.unpack(blob, "<u4", "<i8")
-            parts.append((np.cumsum(step, dtype=np.uint64).astype(np.uint32), doc))
-        tokens, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, tokens))
+            step, doc, own = buckets.unpack(blob, "<u4", "<i8", "u1")
+            parts.append((np.cumsum(step, dtype=np.uint64).astype(np.uint32), doc, own))
+        tokens, doc, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # the pivot has the largest share of frequent shingles: of a group of near copies that is what they are copies of
+        order = np.lexsort((doc, own, tokens))
         tokens, doc = tokens[order], doc[order]
         new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         size = np.diff(np.r_[new, len(tokens)])
@@ -169,14 +182,37 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
             same = np.flatnonzero((tokens[k:] == tokens[:-k]) & ~many[k:])
             a.append(doc[same])
             b.append(doc[same + k])
-        pivot = np.repeat(doc[new], size)
-        a, b = np.concatenate([*a, pivot[many]]), np.concatenate([*b, doc[many]])
-        found = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        group = tokens[many].astype(np.int64) | key[0].as_py() << 32
-        n = len(found)
-        return pa.table({"a": pa.array(np.concatenate([found[:, 0], doc[many]]), pa.int64()), "b": pa.array(np.concatenate([found[:, 1], doc[many]]), pa.int64(), mask=np.arange(n + len(group)) >= n), "group": pa.array(np.concatenate([found[:, 0], group]), pa.int64(), mask=np.arange(n + len(group)) < n)})
-
-    return docs.mapInArrow(deal, "bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "a long, b long, group long")
+        a, b = np.concatenate([*a, np.repeat(doc[new], size)[many]]), np.concatenate([*b, doc[many]])
+        out = [*_merge(n_buckets, a[a != b], b[a != b], np.ones(int((a != b).sum()), "<i8"))]
+        group = tokens[many].astype("<i8") | key[0].as_py() << 32
+        rows = [pa.table({"kind": pa.array([0] * x.num_rows, pa.int32()), "bucket": x.column(0), "runs": x.column(1)}) for x in out]
+        if len(group):
+            rows.append(pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([0], pa.int64()), "runs": pa.array([buckets.pack(group, doc[many].astype("<i8"))], pa.binary())}))
+        return pa.concat_tables(rows) if rows else pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+
+    def total(_, a, b, n) -> Iterator[pa.RecordBatch]:
+        order, edge = _runs(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[order][edge], b[order][edge], np.add.reduceat(n[order], edge))], ["a", "b", "shared"])
+
+    def spread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for blob in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.unpack(blob, "<i8", "<i8")], ["group", "a"])
+
+    found = written(docs.mapInArrow(deal, "bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "kind int, bucket long, runs binary"), "candidates")
+    pairs = buckets.groups(found.filter("kind = 0").select("bucket", "runs"), ("<i8",) * 3, total, "a long, b long, shared long")
+    return pairs, found.filter("kind = 1").select("runs").mapInArrow(spread, "group long, a long")
+
+
+def _merge(n_buckets: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums for each pair, dealt by it."""
+    if len(a):
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order, edge = _runs(a, b)
+        dealer = buckets.Dealer(n_buckets)
+        a, b, n = a[order][edge], b[order][edge], np.add.reduceat(n[order], edge)
+        dealer.add(hashing.mix(a.view(np.uint64), 1) ^ hashing.mix(b.view(np.uint64), 2), a, b, n)
+        yield from dealer.rows()
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity, frequent) -> DataFrame:
@@ -200,7 +236,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity, frequent) -> Da
                 linked = []
                 for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                     (t, tp), (u, up) = known(x), known(y)
-                    shared = all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(tp, up, strict=True))
+                    shared = all(sim.may_hold(len(np.intersect1d(p, q, assume_unique=True)), len(t), len(u)) for p, q in zip(tp, up, strict=True))
                     linked.append(shared and sim.holds(len(np.intersect1d(t, u, assume_unique=True)), len(t), len(u)))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
@@ -215,7 +251,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for b in pieces(whole, "text"):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, sim.k).astype("<u8").tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "tokens"])
+                sets = [shingles(t, sim.k) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.astype("<u8").tobytes() for t in sets], pa.binary())], ["doc_id", "tokens"])
 
     return _pick(docs, wanted, "left_semi").mapInArrow(run, "doc_id long, tokens binary")
 
@@ -229,37 +266,69 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, Da
     same = written(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "equal-sets")
     nodes = written(rows.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "nodes")
     frequent = spark.sparkContext.broadcast(_frequent(scanned.filter("bucket is not null").select("bucket", "runs")))
-    found = written(_candidates(docs, sim, frequent), "candidates")
+    pairs, members = (written(t, label) for t, label in zip(_candidates(docs, sim, frequent), ("shared", "groups"), strict=True))
+    # how many prefix shingles of a document are in groups whose pairs were not all counted
+    known = written(nodes.join(members.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("open")), "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(0))), "known")
 
     def represented(t: DataFrame, column: str) -> DataFrame:
-        """The column's documents by their representatives, with set sizes as n_<column>."""
-        return t.join(nodes.select(F.col("doc_id").alias(column), F.col("rep").alias(f"r_{column}"), F.col("n").alias(f"n_{column}")), column).drop(column).withColumnRenamed(f"r_{column}", column)
+        """The column's documents by their representatives, with n_<column> and open_<column>."""
+        own = known.select(F.col("doc_id").alias(column), F.col("rep").alias(f"r_{column}"), F.col("n").alias(f"n_{column}"), F.col("open").alias(f"open_{column}"))
+        return t.join(own, column).drop(column).withColumnRenamed(f"r_{column}", column)
 
     def sized(t: DataFrame) -> DataFrame:
         return t.filter((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") * sim.den >= F.greatest("n_a", "n_b") * sim.num))
 
-    pairs = sized(represented(represented(found.filter("group is null").select("a", "b").distinct(), "a"), "b"))
+    def rest(n: Column) -> Column:
+        return F.ceil(n * sim.num / sim.den) - 1
+
+    def enough(shared: Column) -> Column:
+        """Similarity.may_hold, where at most min(open) of the shared prefix shingles were not counted."""
+        return (shared + F.least("open_a", "open_b") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))) * (sim.den + sim.num) >= sim.num * (F.col("n_a") + F.col("n_b"))
+
+    pairs = sized(represented(represented(pairs, "a"), "b")).filter(enough(F.col("shared")))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    members = written(represented(found.filter("group is not null").select("group", "a"), "a").distinct(), "members")
+    members = written(represented(members, "a").groupBy("group", "a").agg(F.max("n_a").alias("n_a"), F.max("open_a").alias("open_a")), "members")
     sets = written(_sets(docs, pairs.union(members.select("a", F.col("a").alias("b"))), sim), "sets")
     tested = written(_compare(pairs, sets, sim, frequent), "tested")
     labels = components(tested.filter("linked").select("a", "b"))
     for k in range(ROUNDS + 1):
         placed = members.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        open_ = placed.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64("a", F.lit(k)), "a", "component", "n_a")).alias("pivot")).filter("c0 < c1")
-        open_ = written(open_.select("group", F.col("pivot.a").alias("b"), F.col("pivot.component").alias("cb"), F.col("pivot.n_a").alias("n_b")), "open")
+        other = [F.col(c).alias(d) for c, d in (("a", "b"), ("component", "cb"), ("n_a", "n_b"), ("open_a", "open_b"))]
+        central = F.struct((-F.col("open_a") / F.col("n_a")).alias("own"), F.xxhash64("a", F.lit(k)), *other)
+        open_ = placed.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(central).alias("pivot")).filter("c0 < c1")
+        open_ = written(open_.select("group", "pivot.b", "pivot.cb", "pivot.n_b", "pivot.open_b"), "open")
         if open_.isEmpty():
             break
+        # pairs that share shingles of other groups have been judged with those; here the uncounted ones must do
         if k < ROUNDS:
             more = placed.join(open_, "group").filter("component <> cb")
         else:
-            rest = written(placed.join(open_.select("group"), "group"), "rest")
-            more = rest.join(rest.select("group", F.col("a").alias("b"), F.col("component").alias("cb"), F.col("n_a").alias("n_b")), "group").filter("component < cb")
-        more = sized(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(_compare(written(more, "more"), sets, sim, frequent), "tested")
+            left = written(placed.join(open_.select("group"), "group"), "rest")
+            more = left.join(left.select("group", *other), "group").filter("component < cb")
+        more = sized(more).filter(enough(F.lit(0))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = written(more, "more")
+        if more.isEmpty():
+            continue
+        more = written(_compare(more, sets, sim, frequent), "tested")
         tested = tested.unionByName(more)
         if not more.filter("linked").isEmpty():
             labels = components(tested.filter("linked").select("a", "b"))
     out = nodes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     null = lambda c: F.when(c != NONE, c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.col("rep")).alias("representative"), null(F.coalesce("component", "rep")).alias("component_id")), tested
+
+
+def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
+    """The documents, with all their columns, that are the first of their class; of rows that share an id, one."""
+    member = written(join(docs, sim)[0].select("doc_id", "component_id"), "members")
+    keep = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NONE)).alias("kept_id"))
+    repeated = keep.groupBy("kept_id").count().filter("count > 1").drop("count")
+    keep, repeated = written(keep.distinct(), "keep"), written(repeated, "repeated")
+    mark = F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE))
+    small = keep.count() <= FEW
+    out = docs.join(F.broadcast(keep) if small else keep, mark == F.col("kept_id"), "left_semi")
+    if repeated.isEmpty():
+        return out
+    doubled = out.join(repeated, mark == F.col("kept_id"), "left_semi")
+    first = W.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.join(repeated, mark == F.col("kept_id"), "left_anti").unionByName(doubled.withColumn("nth_row", F.row_number().over(first)).filter("nth_row = 1").drop("nth_row"))
