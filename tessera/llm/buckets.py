@@ -72,6 +72,8 @@ class Dealer:
 def groups(dealt: DataFrame, kinds: tuple[str, ...], work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """work(tokens, *columns) for each bucket: its runs of all tasks, sorted by token. A bucket has an even share of the runs."""
 
+    arrow = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in schema.split(", ")])
+
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for blob in table.column("runs").to_pylist():
@@ -79,6 +81,6 @@ def groups(dealt: DataFrame, kinds: tuple[str, ...], work: Callable[..., Iterato
             parts.append((np.cumsum(step, dtype=np.uint64).astype(np.uint32), *columns))
         tokens, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(tokens, kind="stable")
-        return pa.Table.from_batches(list(work(tokens[order], *(c[order] for c in columns))))
+        return pa.Table.from_batches(list(work(tokens[order], *(c[order] for c in columns))), schema=arrow)
 
     return dealt.groupBy("bucket").applyInArrow(run, schema)

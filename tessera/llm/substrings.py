@@ -35,7 +35,7 @@ PIECE = 256 * BLOCK  # words of a reference piece
 SHARD = 48  # reference pieces of a shard, on average
 STREAM = 512  # documents that one copy of a shard is meant for
 NONE = -(1 << 63)  # a null doc_id
-FEW = 4_000_000  # ids up to which a broadcast (32 MB) picks documents; beyond, a shuffled join does
+FEW = 1_000_000  # ids (8 MB) up to which a broadcast picks documents; beyond, a shuffled join does
 
 
 class SuffixAutomaton:
@@ -130,13 +130,27 @@ def _key(text: str | None) -> bytes:
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """d, f, piece, b0, b1: document d has runs, in its blocks b0 to b1, that start first in document f, in its piece."""
     n_buckets = buckets.count(docs.sparkSession)
+    n_cells = max(1, partitions(docs.sparkSession) // 4)  # fewer than buckets, as every bucket deals to every cell
+    part = max(1, length // 2 - 1)
+
+    def placed(words: list[bytes]) -> np.ndarray:
+        """Hashes of the runs; the upper half, which gives the bucket, is the least hash of a part of the run.
+
+        Neighbouring runs mostly share it, so a passage meets in few buckets, and equal runs always in one.
+        """
+        whole, parts = hashing.runs(words, length), hashing.runs(words, part)
+        if not len(whole):
+            return whole
+        least = np.lib.stride_tricks.sliding_window_view(parts, length - part + 1).min(axis=1)
+        least = hashing.mix(least)  # the least of several is far from even
+        return (least & np.uint64(0xFFFFFFFF00000000)) | (whole & np.uint64(0xFFFFFFFF))
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = buckets.Dealer(n_buckets)
         for whole in stream:
             for b in pieces(whole, "text"):
                 for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
-                    h = hashing.runs(hashing.words(text, lower=False), length)
+                    h = placed(hashing.words(text, lower=False))
                     if dealer.add(h, np.full(len(h), doc, "<i8"), (np.arange(len(h)) // BLOCK).astype("<u4")):
                         yield from dealer.rows()
         yield from dealer.rows()
@@ -149,21 +163,50 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         # the first document may have the run in several pieces; one of them is enough
         where = np.where(doc == least[group], block, np.uint32(0xFFFFFFFF))
         piece = np.minimum.reduceat(where, new) // np.uint32(PIECE // BLOCK)
-        d, f, p, b = doc[again], least[group][again], piece[group][again].astype(np.int64), block[again].astype(np.int64)
-        order = np.lexsort((p, f, d))
-        d, f, p, b = d[order], f[order], p[order], b[order]
-        edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (p[1:] != p[:-1])]) if len(d) else np.zeros(0, np.int64)
-        low, high = (op.reduceat(b, edge) if len(edge) else b for op in (np.minimum, np.maximum))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d[edge], f[edge], p[edge], low, high)], ["d", "f", "piece", "b0", "b1"])
+        d, f, p, b = doc[again], least[group][again], piece[group][again].astype("<i8"), block[again].astype("<i8")
+        yield from merge(d, f, p, b, b)
+
+    def merge(d, f, p, low, high) -> Iterator[pa.RecordBatch]:
+        """One row for each (d, f, p), dealt anew by it."""
+        if len(d):
+            order, edge = _runs(d, f, p)
+            d, f, p = (x[order][edge] for x in (d, f, p))
+            dealer = buckets.Dealer(n_cells)
+            with np.errstate(over="ignore"):
+                key = hashing.mix(d.view(np.uint64), 1) ^ hashing.mix(f.view(np.uint64), 2) ^ hashing.mix(p.view(np.uint64), 3)
+            dealer.add(key, d, f, p, np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge))
+            yield from dealer.rows()
+
+    def total(_, d, f, p, low, high) -> Iterator[pa.RecordBatch]:
+        order, edge = _runs(d, f, p)
+        columns = (*(x[order][edge] for x in (d, f, p)), np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["d", "f", "piece", "b0", "b1"])
 
     dealt = docs.mapInArrow(deal, "bucket long, runs binary")
-    found = buckets.groups(dealt, ("<i8", "<u4"), first, "d long, f long, piece long, b0 long, b1 long")
-    return found.groupBy("d", "f", "piece").agg(F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+    named = buckets.groups(dealt, ("<i8", "<u4"), first, "bucket long, runs binary")
+    return buckets.groups(named, ("<i8",) * 5, total, "d long, f long, piece long, b0 long, b1 long")
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each begins."""
+    order = np.lexsort(keys)
+    change = np.zeros(len(order), bool)
+    change[0] = True
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(change)
 
 
 def _pick(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """Join by the document's id; a small table is broadcast after its rows were counted."""
-    return docs.join(F.broadcast(table) if table.count() <= FEW else table, "doc_id", how)
+    """Join by the document's id, which is unique in table. Only ids are broadcast, and only after they were counted."""
+    ids = table.select("doc_id")
+    if ids.count() > FEW:
+        return docs.join(table, "doc_id", how)
+    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    if how == "left_semi":
+        return chosen
+    joined = chosen.join(table, "doc_id")
+    return joined if how == "inner" else joined.unionByName(docs.join(F.broadcast(ids), "doc_id", "left_anti"), allowMissingColumns=True)
 
 
 def spans(docs: DataFrame, *, length: int = 13) -> DataFrame:
