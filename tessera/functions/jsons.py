@@ -57,7 +57,7 @@ def probabilities(content: Column, hypotheses: Column) -> Column:
     """A map over all hypotheses: from the answer's object or else its text, percentages rescaled, normalised; else uniform."""
     body = unfenced(content)
     given = F.coalesce(F.from_json(F.get_json_object(body, "$.probabilities"), "map<string,string>"), F.from_json(F.get_json_object(body, "$.probs"), "map<string,string>"))
-    loose = lambda h: F.regexp_extract(content, F.concat(F.lit('"'), h, F.lit('"\\s*:\\s*([0-9]*\\.?[0-9]+)')), 1)
+    loose = lambda h: F.call_function("regexp_extract", content, F.concat(F.lit('"'), h, F.lit('"\\s*:\\s*([0-9]*\\.?[0-9]+)')), F.lit(1))
     values = F.transform(hypotheses, lambda h: F.coalesce(F.try_element_at(given, h).try_cast("double"), loose(h).try_cast("double")))
     whole = ~F.exists(values, lambda v: v.isNull())
     scaled = F.when(F.exists(values, lambda v: v > 1.5), F.transform(values, lambda v: v / 100)).otherwise(values)
