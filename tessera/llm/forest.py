@@ -32,9 +32,9 @@ from .components import components
 @dataclass(frozen=True)
 class Forest:
     threshold: float = 0.93
-    trees: int = 8
-    leaf: int = 384
-    spill: float = 0.045
+    trees: int = 6
+    leaf: int = 256
+    spill: float = 0.02
     sample: int = 40_000
     block: int = 2_000
     seed: int = 7
