@@ -1,8 +1,7 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed leniently into a tree. Subtrees outside its main content are hashed (tags, classes and text; numbers
-count as one, so that dates and counters don't hide a template), counted for each host over all pages, and deleted
-where they recur on many pages of that host. What says of itself that it isn't the article (navigation, asides, footers,
+A page is parsed leniently into a tree. Subtrees outside its main content are hashed (tags, classes and text), counted
+for each host over all its different pages, and deleted where they recur on many of them; copies of a page count once. What says of itself that it isn't the article (navigation, asides, footers,
 forms, scripts, adverts, comments and so on) goes as well, which a host with few pages needs.
 
 Copies of one article recur too, and so may a line within articles: what stands inside the page's main content
@@ -53,7 +52,6 @@ WALLS = {"table", "td", "th", "article", "main", "section", "aside", "nav", "bod
 TAG = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
-NUMBER = re.compile(r"\d+")
 TOKEN = re.compile(r"[a-z]+|\d+")
 
 
@@ -147,7 +145,7 @@ def codes(page: Element) -> list[int]:
         parts, holds = [e.tag, ",".join(sorted(e.says))], False
         for x in e.items:
             if isinstance(x, str):
-                parts.append(NUMBER.sub("0", SPACE.sub(" ", x).strip()))
+                parts.append(SPACE.sub(" ", x).strip())
             elif id(x) in own:
                 holds = True
             else:
@@ -162,7 +160,8 @@ def codes(page: Element) -> list[int]:
 
     if _depth(page) > 400:  # beyond what recursion bears; such pages have no template hashes
         return []
-    visit(page)
+    form, _ = visit(page)
+    page.code = int(form, 16) - (1 << 63)  # of the page as a whole
     return out
 
 
@@ -210,14 +209,16 @@ def templates(pages: DataFrame, *, least: int = 8, share: float = 0.02) -> DataF
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            n: dict[tuple, int] = {}
+            n: set[tuple] = set()
             for b in pieces(whole, "html"):
                 for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                    for c in {None, *codes(parse(source))}:
-                        n[host, c] = n.get((host, c), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in n], pa.string()), pa.array([c for _, c in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "code", "n"])
+                    page = parse(source)
+                    own = {None, *codes(page)}
+                    n.update((host, page.code, c) for c in own)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*n), (pa.string(), pa.int64(), pa.int64()), strict=True)] if n else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["host", "page", "code"])
 
-    counts = written(pages.select("host", "html").mapInArrow(run, "host string, code long, n long").groupBy("host", "code").agg(F.sum("n").alias("n")).filter(F.col("code").isNull() | (F.col("n") >= least)), "subtrees")
+    found = pages.select("host", "html").mapInArrow(run, "host string, page long, code long").distinct()
+    counts = written(found.groupBy("host", "code").agg(F.count("*").alias("n")).filter(F.col("code").isNull() | (F.col("n") >= least)), "subtrees")
     total = counts.filter("code is null").select("host", F.col("n").alias("pages"))
     return counts.filter("code is not null").join(total, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "code")
 
