@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, curation, evaluation, linking, similarity
+from . import asking, audits, curation, evaluation, linking, similarity
 from .registry import ORACLES, QUERIES, Query
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["audits", "curation", "evaluation", "linking", "similarity", "oracle_sql", "queries"]
+__all__ = ["asking", "audits", "curation", "evaluation", "linking", "similarity", "oracle_sql", "queries"]
