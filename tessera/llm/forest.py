@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import written
-from .components import components
 
 
 @dataclass(frozen=True)

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import buckets, hashing
 from .common import pieces, texts, written
-from .components import components
 from .substrings import FEW, NONE, _ids, _pick, _runs
 
 #: A shingle of this many documents is frequent; so many of the most frequent are told apart, 8 bytes each.
