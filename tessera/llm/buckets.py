@@ -41,7 +41,7 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 class Dealer:
     """Holds up to `limit` runs of a task; rows() gives one packed row for each bucket and flush."""
 
-    def __init__(self, n_buckets: int, limit: int = 3_000_000):
+    def __init__(self, n_buckets: int, limit: int = 1_000_000):
         self.n_buckets, self.limit, self.held, self.n = np.uint64(n_buckets), limit, [], 0
 
     def add(self, hashes: np.ndarray, *columns: np.ndarray) -> bool:

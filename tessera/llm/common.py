@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, written
 
+# workers live on between stages: freed buffers go back to the system at once
+pa.set_memory_pool(pa.system_memory_pool())
+
 __all__ = ["batches", "partitions", "pieces", "shared_dir", "texts", "written"]
 
 
