@@ -28,7 +28,7 @@ def _closed(chunk: str) -> None:
 
 
 #: Chunks kept in a worker; beyond this the table starts anew.
-KEPT = 700_000
+KEPT = 1_200_000
 
 
 def _printable() -> dict[int, str]:
