@@ -1,11 +1,13 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed leniently into a tree. Subtrees outside its main content are hashed (tags, classes and text), counted
-for each host over all its different pages, and deleted where they recur on many of them; copies of a page count once. What says of itself that it isn't the article (navigation, asides, footers,
-forms, scripts, adverts, comments and so on) goes as well, which a host with few pages needs.
-
-Copies of one article recur too, and so may a line within articles: what stands inside the page's main content
-(article or main, where a page has one) is no template, however often it recurs. The counts are summed
+A page is parsed leniently into a tree. All its subtrees are hashed (tags, classes and text), counted for each host over
+pages of different main content (article or main, where a page has one, else the whole page), and deleted where they recur on
+many of them; copies of an article count once. What says of itself that it isn't the article (navigation, asides, footers,
+forms, scripts, adverts, comments and so on) goes as well, which a host with few pages needs. What stands outside an
+article or main is not part of the text where a page has one.
+
+Near copies of one article recur too, and so may a line within articles: inside an article or main a subtree is a template
+only where it has text and stands in at least half of the host's different articles. The counts are summed
 before the shuffle and hold a row for each host and subtree; hosts and templates of any size are only
 ever joined by keys that are salted by page.
 
@@ -137,31 +139,36 @@ def _content(page: Element) -> set[int]:
 
 
 def codes(page: Element) -> list[int]:
-    """Hashes of the element subtrees outside the main content; sets `code` on each."""
-    own, out = _content(page), []
+    """Hashes of the element subtrees, odd inside an article or main; sets `code` on each, and on the page that of its main content."""
+    own, out, main = _content(page), [], []
 
-    def visit(e: Element) -> tuple[str, bool]:
-        """Its text form, and whether it holds main content (then it is no template)."""
-        parts, holds = [e.tag, ",".join(sorted(e.says))], False
+    def visit(e: Element, inside: bool) -> tuple[str, bool, bool]:
+        """Its text form, whether it holds main content (then it is no template), and whether it has text."""
+        parts, holds, text = [e.tag, ",".join(sorted(e.says))], False, False
         for x in e.items:
             if isinstance(x, str):
                 parts.append(SPACE.sub(" ", x).strip())
+                text |= bool(parts[-1])
             elif id(x) in own:
                 holds = True
+                main.append(visit(x, True)[0])
             else:
-                form, h = visit(x)
+                form, h, t = visit(x, inside)
                 parts.append(form)
                 holds |= h
+                text |= t
         form = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        if not holds and e.tag not in ("#root", "html", "body") and e.tag not in RAW:
-            e.code = int(form, 16) - (1 << 63)
+        if not holds and e.tag not in ("#root", "html", "body") and e.tag not in RAW and id(e) not in own and (text or not inside):
+            e.code = (int(form, 16) - (1 << 63)) & ~1 | inside
             out.append(e.code)
-        return form, holds
+        return form, holds, text
 
     if _depth(page) > 400:  # beyond what recursion bears; such pages have no template hashes
         return []
-    form, _ = visit(page)
-    page.code = int(form, 16) - (1 << 63)  # of the page as a whole
+    form = visit(page, False)[0]
+    if main:
+        form = hashlib.blake2b("".join(main).encode(), digest_size=8).hexdigest()
+    page.code = int(form, 16) - (1 << 63)
     return out
 
 
@@ -204,8 +211,8 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, *, least: int = 8, share: float = 0.02) -> DataFrame:
-    """host, code: subtrees on at least `least` pages and a share of the host's pages."""
+def templates(pages: DataFrame, *, least: int = 8, share: float = 0.02, inside: float = 0.5) -> DataFrame:
+    """host, code: subtrees on at least `least` pages and a share of the host's pages, in articles the share `inside`."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
@@ -220,7 +227,7 @@ def templates(pages: DataFrame, *, least: int = 8, share: float = 0.02) -> DataF
     found = pages.select("host", "html").mapInArrow(run, "host string, page long, code long").distinct()
     counts = written(found.groupBy("host", "code").agg(F.count("*").alias("n")).filter(F.col("code").isNull() | (F.col("n") >= least)), "subtrees")
     total = counts.filter("code is null").select("host", F.col("n").alias("pages"))
-    return counts.filter("code is not null").join(total, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "code")
+    return counts.filter("code is not null").join(total, "host").filter(F.col("n") >= F.when(F.col("code").bitwiseAND(1) == 1, inside).otherwise(share) * F.col("pages")).select("host", "code")
 
 
 def extract(table: DataFrame, *, limit: int = 500_000) -> DataFrame:
