@@ -68,11 +68,21 @@ _WORDS = "list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_-]+'), lambda x
  SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY ALL HAVING count(*) >= 5""")
 def bigram_overlap_join(spark, sf_dir):
     """Documents and passages with five common bigrams of content words."""
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", texts.ngrams(F.col("text")).alias("g"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", texts.ngrams(F.col("text")).alias("g"))
+    return _bigram_overlap(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "benchmark"))
+
+
+def _bigram_overlap(documents, items):
+    d = documents.select("doc_id", texts.ngrams(F.col("text")).alias("g"))
+    b = items.select("item_id", texts.ngrams(F.col("text")).alias("g"))
     return similarity.set_overlap(d, b, "doc_id", "item_id", "g").filter("shared >= 5").select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"), "shared")
 
 
+@query()
+def bigram_overlap_all(spark, sf_dir):
+    """Documents of every language and passages with five common bigrams of content words."""
+    return _bigram_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""WITH s AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 3), lambda i: substr(lower(p_name), i, 5))) AS g, p_brand FROM part),
  e AS (SELECT p_partkey, p_brand, len(g) AS n, unnest(g) AS x FROM s), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey GROUP BY ALL)
  SELECT a, b, round(c / (n + m - c), 6) AS jaccard FROM j WHERE c / (n + m - c) >= 0.6""")
