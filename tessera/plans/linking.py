@@ -233,6 +233,12 @@ def error_signature(spark, sf_dir):
     return d.select("doc_id", F.right(texts.signature(detail, 10_000), F.lit(60)).alias("signature"))
 
 
+@query()
+def error_signature_counts(spark, sf_dir):
+    """How often each signature occurs; every text is normalised whole, and the signature is its first 160 characters then."""
+    return table(spark, sf_dir, "documents").groupBy(texts.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT page_id, s AS slice, DATE '2026-01-01' + CAST(floor(10 * s / 3) AS INT) AS first, DATE '2026-01-01' + CAST(floor(10 * (s + 1) / 3) AS INT) AS last FROM pages, (SELECT unnest([0, 1, 2]) AS s)""")
 def time_slices(spark, sf_dir):
     """A look-back span in three slices."""

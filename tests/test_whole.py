@@ -24,3 +24,14 @@ def test_bigrams_of_all_languages(spark, sf):
     got = catalog.queries()["bigram_overlap_all"](spark, sf).collect()
     assert {(r["doc_id"], r["item_id"]): r["shared"] for r in got} == want and len(got) == len(want)
     assert {lang[d] for d, _ in want} - {"en"}
+
+
+def test_signatures_of_all_documents_are_counted(spark, sf):
+    want = Counter()
+    for r in rows(spark, sf, "documents"):
+        s = r["text"] or ""
+        for old, new in ((r"fact\[\d+\]", "fact[N]"), (r"\b\d{4}-\d{2}-\d{2}\b", "<DATE>"), (r"\b[0-9a-f]{8,}\b", "<HASH>"), (r"\b\d+\b", "<N>")):
+            s = re.sub(old, new, s)
+        want[s[:160]] += 1
+    got = catalog.queries()["error_signature_counts"](spark, sf).collect()
+    assert {r["signature"]: r["n"] for r in got} == want and sum(r["n"] for r in got) == 200
