@@ -76,7 +76,17 @@ def first_fail_filter(spark, sf_dir):
  arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS n_records FROM documents GROUP BY 1""")
 def dedup_merge(spark, sf_dir):
     """Records with one id become one: longest text, first language, union of sources."""
-    d = table(spark, sf_dir, "documents").withColumn("id", urls.article_id(F.substring("text", 1, 40))).withColumn("sources", F.array("source"))
+    return _merged(table(spark, sf_dir, "documents").withColumn("id", urls.article_id(F.substring("text", 1, 40))))
+
+
+@query()
+def dedup_merge_whole(spark, sf_dir):
+    """Records with one text become one; the id is the whole text's SHA-256."""
+    return _merged(table(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit("art_"), F.sha2(F.col("text").cast("binary"), 256))))
+
+
+def _merged(documents: DataFrame) -> DataFrame:
+    d = documents.withColumn("sources", F.array("source"))
     m = merging.dedup_merge(d, "id", "doc_id", "text", ["n_chars"], ["lang"], ["sources"])
     return m.select("id", "text", "n_chars", "lang", F.array_join("sources", ",").alias("provenance"), "n_records")
 
@@ -92,6 +102,12 @@ def title_collisions(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.lower(F.trim(F.substring("text", 1, 30))).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+@query()
+def text_collisions(spark, sf_dir):
+    """Whole texts that occur twice or more, but for case and outer spaces."""
+    return table(spark, sf_dir, "documents").groupBy(F.lower(F.trim("text")).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
+
+
 _HOST = "regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 

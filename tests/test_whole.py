@@ -35,3 +35,19 @@ def test_signatures_of_all_documents_are_counted(spark, sf):
         want[s[:160]] += 1
     got = catalog.queries()["error_signature_counts"](spark, sf).collect()
     assert {r["signature"]: r["n"] for r in got} == want and sum(r["n"] for r in got) == 200
+
+
+def test_different_texts_stay_apart(spark, sf):
+    groups = defaultdict(list)
+    for r in rows(spark, sf, "documents"):
+        groups[r["text"]].append(r)
+    want = {t: (len(g), ",".join(sorted({r["source"] for r in g}))) for t, g in groups.items()}
+    got = catalog.queries()["dedup_merge_whole"](spark, sf).collect()
+    assert {r["text"]: (r["n_records"], r["provenance"]) for r in got} == want
+    assert len({r["id"] for r in got}) == len(got) == len(want)
+
+
+def test_collisions_of_whole_texts(spark, sf):
+    want = Counter(r["text"].strip(" ").lower() for r in rows(spark, sf, "documents"))
+    got = catalog.queries()["text_collisions"](spark, sf).collect()
+    assert {r["title"]: r["n"] for r in got} == {t: n for t, n in want.items() if n >= 2}
