@@ -15,10 +15,21 @@ from .registry import query, table
  JOIN events e ON e.user_id = o.user_id AND CAST(e.ts AS DATE) BETWEEN cutoff - 7 AND cutoff) WHERE rank <= 5""")
 def interval_topk_join(spark, sf_dir):
     """The latest evidence with the question's key in its closed interval."""
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_custkey") % 150).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("cutoff"))
+    return _latest(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"))
+
+
+def _latest(spark, sf_dir, orders):
+    """Orders with one key and cutoff share their evidence, which is ranked once."""
+    o = orders.select("o_orderkey", (F.col("o_custkey") % 150).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("cutoff"))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    hit = linking.interval_top_k(o, e, F.col("key") == F.col("user_id"), "day", F.date_sub("cutoff", 7), F.col("cutoff"), ["o_orderkey"], [F.desc("ts"), F.col("event_id")], 5)
-    return hit.select("o_orderkey", "event_id", "rank")
+    hit = linking.interval_top_k(o.select("key", "cutoff").distinct(), e, F.col("key") == F.col("user_id"), "day", F.date_sub("cutoff", 7), F.col("cutoff"), ["key", "cutoff"], [F.desc("ts"), F.col("event_id")], 5)
+    return o.join(hit.select("key", "cutoff", "event_id", "rank"), ["key", "cutoff"]).select("o_orderkey", "event_id", "rank")
+
+
+@query()
+def interval_topk_all(spark, sf_dir):
+    """The latest evidence of every order, whatever its status."""
+    return _latest(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
 _PAIRS = """p AS (SELECT event_id, event_type, ts, CAST(ts AS DATE) AS day, least(user_id % 12, (event_id * 7) % 12) AS a, greatest(user_id % 12, (event_id * 7) % 12) AS b FROM events)"""
@@ -115,8 +126,18 @@ def docids_two_hop(spark, sf_dir):
 @query("""SELECT n_nationkey, p_partkey FROM nation JOIN part ON contains(p_name, lower(substr(n_name, 1, 3))) WHERE p_size BETWEEN 5 AND 9""")
 def text_contains_join(spark, sf_dir):
     """Names of a small dimension looked up in texts, with a range condition; the dimension has fixed size."""
+    return _contained(spark, sf_dir, table(spark, sf_dir, "part").filter("p_size between 5 and 9"))
+
+
+@query()
+def text_contains_all(spark, sf_dir):
+    """The same names looked up in the texts of all parts."""
+    return _contained(spark, sf_dir, table(spark, sf_dir, "part"))
+
+
+def _contained(spark, sf_dir, parts):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("needle"))
-    p = table(spark, sf_dir, "part").filter("p_size between 5 and 9").select("p_partkey", "p_name")
+    p = parts.select("p_partkey", "p_name")
     return p.join(F.broadcast(n), F.contains("p_name", "needle")).select("n_nationkey", "p_partkey")
 
 

@@ -1,5 +1,6 @@
 """Queries without the cuts of those that are held against SQL, by brute force."""
 
+import datetime
 import re
 from collections import Counter, defaultdict
 
@@ -51,3 +52,22 @@ def test_collisions_of_whole_texts(spark, sf):
     want = Counter(r["text"].strip(" ").lower() for r in rows(spark, sf, "documents"))
     got = catalog.queries()["text_collisions"](spark, sf).collect()
     assert {r["title"]: r["n"] for r in got} == {t: n for t, n in want.items() if n >= 2}
+
+
+def test_every_order_gets_evidence(spark, sf):
+    events = defaultdict(list)
+    for r in rows(spark, sf, "events"):
+        events[r["user_id"]].append((-r["ts"].timestamp(), r["event_id"], r["ts"].date()))
+    want = set()
+    for r in rows(spark, sf, "orders"):
+        cutoff = datetime.date(2024, 1, 1) + datetime.timedelta(r["o_orderkey"] % 30)
+        hit = sorted(e for e in events[r["o_custkey"] % 150] if 0 <= (cutoff - e[2]).days <= 7)
+        want |= {(r["o_orderkey"], e[1], k) for k, e in enumerate(hit[:5], 1)}
+    got = [tuple(r) for r in catalog.queries()["interval_topk_all"](spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_every_part_is_looked_up(spark, sf):
+    names = [(r["n_nationkey"], r["n_name"][:3].lower()) for r in rows(spark, sf, "nation")]
+    want = sorted((k, r["p_partkey"]) for r in rows(spark, sf, "part") for k, w in names if w in r["p_name"])
+    assert sorted(tuple(r) for r in catalog.queries()["text_contains_all"](spark, sf).collect()) == want
