@@ -2,7 +2,8 @@
 
 A 64-bit hash gives its bucket from its upper half and a 32-bit token from its lower half; tokens are equal
 within a bucket for equal hashes, and seldom for others, as buckets grow in number with the input. Users of
-the groups verify what they find, so a chance meeting costs work and never a wrong result.
+the groups verify what they find, so a chance meeting costs work and never a wrong result; who takes one member
+for all of a group carries the rest of the hash in a column and groups by both.
 """
 
 from __future__ import annotations

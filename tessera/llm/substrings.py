@@ -133,31 +133,35 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     n_cells = max(1, partitions(docs.sparkSession) // 4)  # fewer than buckets, as every bucket deals to every cell
     part = max(1, length // 2 - 1)
 
-    def placed(words: list[bytes]) -> np.ndarray:
+    def placed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs; the upper half, which gives the bucket, is the least hash of a part of the run.
 
         Neighbouring runs mostly share it, so a passage meets in few buckets, and equal runs always in one.
+        Then the upper half of the runs' own hashes, which tells apart runs with one token.
         """
         whole, parts = hashing.runs(words, length), hashing.runs(words, part)
         if not len(whole):
-            return whole
+            return whole, whole.astype("<u4")
         least = np.lib.stride_tricks.sliding_window_view(parts, length - part + 1).min(axis=1)
         least = hashing.mix(least)  # the least of several is far from even
-        return (least & np.uint64(0xFFFFFFFF00000000)) | (whole & np.uint64(0xFFFFFFFF))
+        return (least & np.uint64(0xFFFFFFFF00000000)) | (whole & np.uint64(0xFFFFFFFF)), (whole >> np.uint64(32)).astype("<u4")
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = buckets.Dealer(n_buckets)
         for whole in stream:
             for b in pieces(whole, "text"):
                 for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
-                    h = placed(hashing.words(text, lower=False))
-                    if dealer.add(h, np.full(len(h), doc, "<i8"), (np.arange(len(h)) // BLOCK).astype("<u4")):
+                    h, check = placed(hashing.words(text, lower=False))
+                    if dealer.add(h, check, np.full(len(h), doc, "<i8"), (np.arange(len(h)) // BLOCK).astype("<u4")):
                         yield from dealer.rows()
         yield from dealer.rows()
 
-    def first(tokens: np.ndarray, doc: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(tokens)]))
+    def first(tokens: np.ndarray, check: np.ndarray, doc: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        run = tokens.astype(np.uint64) << np.uint64(32) | check
+        order = np.argsort(run)
+        run, doc, block = run[order], doc[order], block[order]
+        new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(run)]))
         least = np.minimum.reduceat(doc, new)
         again = doc > least[group]
         # the first document may have the run in several pieces; one of them is enough
@@ -183,7 +187,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["d", "f", "piece", "b0", "b1"])
 
     dealt = docs.mapInArrow(deal, "bucket long, runs binary")
-    named = buckets.groups(dealt, ("<i8", "<u4"), first, "bucket long, runs binary")
+    named = buckets.groups(dealt, ("<u4", "<i8", "<u4"), first, "bucket long, runs binary")
     return buckets.groups(named, ("<i8",) * 5, total, "d long, f long, piece long, b0 long, b1 long")
 
 
