@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batches, pieces, texts
 from .tokens import encoder
@@ -107,19 +108,24 @@ class Packer:
             yield from self._fill()
 
 
-def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
-    """Encode the whole texts, end each with end_id, and place every id in exactly one sequence."""
+def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
+    """Encode the whole texts, end each with end_id, and place every id in exactly one sequence.
+
+    prompt: a column with the number of a text's first ids that bear no loss; all bear loss where it is null or not named.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, out = encoder(vocabulary), Packer(limits, TaskContext.get().partitionId() << 40), []
         for whole in stream:
             for batch in pieces(whole, "text"):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                free = batch.column(2).to_pylist() if prompt else [None] * batch.num_rows
+                for doc_id, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), free, strict=True):
                     ids = np.append(np.frombuffer(enc.encode(text), enc.dtype), enc.dtype.type(end_id))
-                    out += packer.add(doc_id, ids)
+                    out += packer.add(doc_id, ids, None if n is None else np.arange(len(ids)) >= n)
                 if len(out) >= 4096:
                     yield from batches(out, ARROW)
                     out = []
         yield from batches(out + list(packer.end()), ARROW)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(prompt).cast("long")) if prompt else texts(docs)
+    return rows.mapInArrow(run, SCHEMA)
