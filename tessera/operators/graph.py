@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import read_from, scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     Every node joins its smallest neighbour, edges move to what was joined, until none is left. Rounds are few, and
     every table is written, so lineage stays short and joins on a hub can be split.
     """
+    with scratch() as keep:
+        return keep(_labels(edges))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType.simpleString()
     e = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -27,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
         parent = written(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")), "grandparents")
         if first:
-            labels, first = parent.withColumnRenamed("p", "component"), False
+            labels, first = read_from(parent.withColumnRenamed("p", "component"), *parent.written_to), False
         else:
             step = parent.select(F.col("node").alias("component"), "p")
             labels = written(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
