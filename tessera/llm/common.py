@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, written
+from ..storage import scratch, shared_dir, written
 
 # workers live on between stages: freed buffers go back to the system at once
 pa.set_memory_pool(pa.system_memory_pool())
 
-__all__ = ["batches", "partitions", "pieces", "shared_dir", "texts", "written"]
+__all__ = ["batches", "ids", "partitions", "pick", "pieces", "runs_of", "scratch", "shared_dir", "table", "texts", "vocabulary", "written"]
+
+NONE = -(1 << 63)  # stands for a null doc_id
+FEW = 1_000_000  # ids (8 MB) up to which a broadcast picks documents; beyond, a shuffled join does
 
 
 def partitions(spark: SparkSession) -> int:
@@ -21,6 +25,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that operators read; other columns never clash."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -41,3 +56,29 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     step = max(1, math.floor(n * limit / size)) if size > limit else n
     for i in range(0, n, step):
         yield batch.slice(i, step)
+
+
+def ids(batch: pa.RecordBatch) -> list[int]:
+    return [NONE if x is None else x for x in batch.column("doc_id").to_pylist()]
+
+
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each begins."""
+    order = np.lexsort(keys)
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(change)
+
+
+def pick(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """Join by the document's id, which is unique in table. Only ids are broadcast, and only after they were counted."""
+    chosen = table.select("doc_id")
+    if chosen.count() > FEW:
+        return docs.join(table, "doc_id", how)
+    found = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    if how == "left_semi":
+        return found
+    joined = found.join(table, "doc_id")
+    return joined if how == "inner" else joined.unionByName(docs.join(F.broadcast(chosen), "doc_id", "left_anti"), allowMissingColumns=True)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import written
+from .common import scratch, written
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ Node = tuple | int
 
 def _grow(x: np.ndarray, size: float, f: Forest, rng: np.random.Generator, leaves: list[int]) -> Node:
     """x: the sample in this node; size: how many vectors of the whole are expected here."""
-    if size > f.leaf and len(x) >= 8:
+    if size > f.leaf and len(x) >= 3:
         for _ in range(3):  # another direction, if most vectors would go to both sides
             d = rng.standard_normal(x.shape[1])
             d /= np.linalg.norm(d)
@@ -122,56 +122,84 @@ def _leaves(stream: Iterator[pa.RecordBatch], forest: dict[str, list[Node]], f:
             yield batch, codes
 
 
-def _first(codes: list[list[int]], i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
-    """Which pairs have no common leaf before `here`."""
-    width = max((len(c) for c in codes), default=1)
-    table = np.full((len(codes), width), -1, np.int64)
-    for k, c in enumerate(codes):
-        table[k, : len(c)] = c
-    table[table >= here] = -1
-    out = np.ones(len(i), bool)
-    for s in range(0, len(i), 1 << 18):
-        a, b = table[i[s : s + (1 << 18)]], table[j[s : s + (1 << 18)]]
-        for c in range(width):
-            out[s : s + (1 << 18)] &= ~((a[:, c : c + 1] == b) & (b >= 0)).any(axis=1)
+def _earlier(codes: list[list[int]], here: int) -> np.ndarray:
+    """For each row, as bits, the leaves before `here` that it shares with another row."""
+    flat = np.array([c for row in codes for c in row], np.int64)
+    rows = np.repeat(np.arange(len(codes)), [len(row) for row in codes])
+    before = flat < here
+    _, which, size = np.unique(flat[before], return_inverse=True, return_counts=True)
+    number = np.cumsum(size > 1) - 1
+    shared = size[which] > 1
+    out = np.zeros((len(codes), int((size > 1).sum())), bool)
+    out[rows[before][shared], number[which[shared]]] = True
     return out
 
 
-def compare(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, codes: list[list[int]], side: np.ndarray, here: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links found for each row (by weight of the others), and each row's smallest id that its links here lead to."""
-    norm = np.linalg.norm(x, axis=1)
+def _new(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hits of rows by columns that have no common leaf before: by products of the bits where hits are dense, else one by one."""
+    if not left.shape[1] or not hit.any():
+        return hit
+    out, rows, columns = hit.copy(), np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    if 8 * hit.sum() > len(rows) * len(columns):
+        a, b = left[rows], right[columns]
+        both = a.any(axis=0) & b.any(axis=0)
+        out[np.ix_(rows, columns)] &= (a[:, both].astype(np.float32) @ b[:, both].T.astype(np.float32)) == 0
+        return out
+    a, b = np.packbits(left, axis=1), np.packbits(right, axis=1)
+    i, j = np.nonzero(hit)
+    step = max(1, (8 << 20) // a.shape[1])
+    for s in range(0, len(i), step):
+        x, y = i[s : s + step], j[s : s + step]
+        out[x, y] = ~(a[x] & b[y]).any(axis=1)
+    return out
+
+
+def compare(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, codes: list[list[int]], side: np.ndarray, here: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links found for each row (by weight of the others), and each row's smallest key that its links here lead to."""
+    norm, bits, mass = np.linalg.norm(x, axis=1), _earlier(codes, here), weight.astype(np.float64)
     left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0))
     same = len(left) == len(x)  # one block against itself
-    pairs_i, pairs_j = [], []
+    links, found = np.zeros(len(x)), []
     for s in range(0, len(left), 512):
         part = left[s : s + 512]
         hit = (x[part] @ x[right].T) / np.outer(norm[part], norm[right]) >= threshold
-        a, b = np.nonzero(hit)
-        a, b = part[a], right[b]
-        keep = ids[a] < ids[b] if same else a != b
-        pairs_i.append(a[keep])
-        pairs_j.append(b[keep])
-    i, j = np.concatenate(pairs_i or [np.zeros(0, int)]), np.concatenate(pairs_j or [np.zeros(0, int)])
-    new = _first(codes, i, j, here)
-    links = np.zeros(len(x), np.int64)
-    np.add.at(links, i[new], weight[j[new]])
-    np.add.at(links, j[new], weight[i[new]])
-    root = ids.copy()
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        if (low == root[i]).all() and (low == root[j]).all():
+        if same:
+            hit &= keys[part][:, None] < keys[right]
+        if not hit.any():
+            continue
+        new = _new(hit, bits[part], bits[right]).astype(np.float64)
+        links[part] += new @ mass[right]
+        links[right] += mass[part] @ new
+        rows, columns = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        found.append((part[rows], right[columns], np.packbits(hit[np.ix_(rows, columns)], axis=1)))
+    root, far = keys.copy(), np.iinfo(np.int64).max
+    while found:
+        before = root.copy()
+        for i, j, packed in found:
+            hit = np.unpackbits(packed, axis=1, count=len(j)).view(bool)
+            root[i] = np.minimum(root[i], np.where(hit, root[j], far).min(axis=1))
+            root[j] = np.minimum(root[j], np.where(hit, root[i][:, None], far).min(axis=0))
+        if (root == before).all():
             break
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-    return links, root
+    return np.rint(links).astype(np.int64), root
 
 
 def near_duplicates(table: DataFrame, f: Forest = Forest()) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of the table."""
-    spark = table.sparkSession
-    rows = vectors(table)
+    with scratch() as keep:
+        rows, known = vectors(table), keep(_linked(vectors(table), f))
+    out = rows.withColumn("h", F.xxhash64("embedding")).join(known, ["group", "h", "embedding"], "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _linked(rows: DataFrame, f: Forest) -> DataFrame:
+    """group, h, embedding, n_links, component_id: one row for each different vector."""
+    spark = rows.sparkSession
     sound = rows.filter("group is not null").withColumn("h", F.xxhash64("embedding"))
-    reps = written(sound.groupBy("group", "h", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "vectors")
+    reps = sound.groupBy("group", "h", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    # ids may repeat, so each different vector has a key of its own
+    reps = written(reps.withColumn("key", F.monotonically_increasing_id()), "vectors")
     forest = spark.sparkContext.broadcast(fit(reps, f))
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +219,7 @@ def near_duplicates(table: DataFrame, f: Forest = Forest()) -> DataFrame:
         for batch, codes in _leaves(stream, forest.value, f):
             g = batch.column("group")[0].as_py()
             take, leaf, x, y, side = [], [], [], [], []
-            for r, (c, v) in enumerate(zip(codes, batch.column("vec_id").to_pylist(), strict=True)):
+            for r, (c, v) in enumerate(zip(codes, batch.column("key").to_pylist(), strict=True)):
                 for k in c:
                     blocks = large.value.get((g, k), 1)
                     mine = (v * 0x9E3779B97F4A7C15 >> 17) % blocks
@@ -204,23 +232,20 @@ def near_duplicates(table: DataFrame, f: Forest = Forest()) -> DataFrame:
             for s in range(0, len(take), 8192):
                 cut = slice(s, s + 8192)
                 part = batch.take(pa.array(take[cut], pa.int64()))
-                arrays = [pa.array([g] * part.num_rows), *(pa.array(v[cut], pa.int64()) for v in (leaf, x, y, side)), part.column("vec_id"), part.column("weight"), part.column("embedding"), pa.array([codes[r] for r in take[cut]], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["group", "leaf", "x", "y", "side", "vec_id", "weight", "embedding", "codes"])
+                arrays = [pa.array([g] * part.num_rows), *(pa.array(v[cut], pa.int64()) for v in (leaf, x, y, side)), part.column("key"), part.column("weight"), part.column("embedding"), pa.array([codes[r] for r in take[cut]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["group", "leaf", "x", "y", "side", "key", "weight", "embedding", "codes"])
 
     def leaf(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
-        ids, weight, side = (batch.column(c).to_numpy() for c in ("vec_id", "weight", "side"))
-        links, root = compare(_matrix(batch), ids, weight, batch.column("codes").to_pylist(), side, batch.column("leaf")[0].as_py(), f.threshold)
-        hit = (links > 0) | (root != ids)
-        return pa.table({"vec_id": pa.array(ids[hit]), "links": pa.array(links[hit]), "root": pa.array(root[hit])})
-
-    dealt = reps.select("group", "vec_id", "weight", "embedding").mapInArrow(deal, "group string, leaf long, x long, y long, side long, vec_id long, weight long, embedding array<float>, codes array<long>")
-    found = written(dealt.groupBy("group", "leaf", "x", "y").applyInArrow(leaf, "vec_id long, links long, root long"), "links")
-    sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    known = reps.select("group", "h", "embedding", F.col("vec_id").alias("rep"), "weight")
-    known = known.join(sums.withColumnRenamed("vec_id", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = written(known.select("group", "h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
-    out = rows.withColumn("h", F.xxhash64("embedding")).join(known, ["group", "h", "embedding"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+        keys, weight, side = (batch.column(c).to_numpy() for c in ("key", "weight", "side"))
+        links, root = compare(_matrix(batch), keys, weight, batch.column("codes").to_pylist(), side, batch.column("leaf")[0].as_py(), f.threshold)
+        hit = (links > 0) | (root != keys)
+        return pa.table({"key": pa.array(keys[hit]), "links": pa.array(links[hit]), "root": pa.array(root[hit])})
+
+    dealt = reps.select("group", "key", "weight", "embedding").mapInArrow(deal, "group string, leaf long, x long, y long, side long, key long, weight long, embedding array<float>, codes array<long>")
+    found = written(dealt.groupBy("group", "leaf", "x", "y").applyInArrow(leaf, "key long, links long, root long"), "links")
+    sums = found.groupBy("key").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
+    least = labels.join(reps.select("key", "vec_id"), "key").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = reps.join(sums, "key", "left").join(labels, "key", "left").join(least, "component", "left")
+    return written(known.select("group", "h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "known")
