@@ -52,15 +52,27 @@ class Dealer:
             self.n += len(hashes)
         return self.n >= self.limit
 
+    def sorted(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What is held, by bucket << 32 | token; nothing is held then."""
+        hashes, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.uint64),)
+        self.held, self.n = [], 0
+        key = ((hashes >> np.uint64(32)) % self.n_buckets) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable")
+        return key[order], [c[order] for c in columns]
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """As rows(), with each token once and how often it was added, so that a hot token is one entry of a flush."""
+        key, _ = self.sorted()
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        yield from self.packed(key[new], [np.diff(np.r_[new, len(key)]).astype("<u4")])
+
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+        yield from self.packed(*self.sorted())
+
+    def packed(self, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(key):
             return
-        hashes, *columns = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.n = [], 0
         low = np.uint64(0xFFFFFFFF)
-        key = ((hashes >> np.uint64(32)) % self.n_buckets) << np.uint64(32) | (hashes & low)
-        order = np.argsort(key, kind="stable")
-        key, columns = key[order], [c[order] for c in columns]
         bucket = (key >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         step = np.diff(key, prepend=key[:1]).astype(np.uint32)

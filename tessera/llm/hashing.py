@@ -61,3 +61,33 @@ def runs(parts: list[bytes], k: int, short: bool = False) -> np.ndarray:
         np.cumsum(_TABLE[raw] * up, out=total[1:])
         first = starts[: n - k + 1]
         return mix((total[ends[k - 1 :]] - total[first]) * down[first])
+
+
+def sets(texts: list[str | None], k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The set of each text's runs of k words (with fewer words the whole sequence), as sorted hashes one after another, and where each set begins.
+
+    One pass over all texts, as most texts are short and calls cost more than bytes.
+    """
+    parts = [words(t, lower) for t in texts]
+    count = np.array([len(p) for p in parts], np.int64)
+    if not count.sum():
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    raw = np.frombuffer(b" ".join(b" ".join(p) for p in parts if p) + b" ", np.uint8)
+    up, down = _power(len(raw))
+    ends = np.flatnonzero(raw == 32)
+    starts = np.r_[0, ends[:-1] + 1]
+    doc = np.repeat(np.arange(len(texts)), count)
+    last = np.cumsum(count) - 1
+    word = np.arange(len(ends))
+    word = word[(word + k - 1 <= last[doc]) | (word == (last - count + 1)[doc])]
+    doc = doc[word]
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_TABLE[raw] * up, out=total[1:])
+        first = starts[word]
+        hashes = mix((total[ends[np.minimum(word + k - 1, last[doc])]] - total[first]) * down[first])
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
+    hashes, doc = hashes[new], doc[new]
+    return hashes, np.searchsorted(doc, np.arange(len(texts) + 1))

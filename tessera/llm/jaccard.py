@@ -1,15 +1,21 @@
 """N-gram Jaccard self-join with prefix filters under several global orders of the shingles.
 
 In any global order, two sets with Jaccard similarity t or more share a shingle among the first
-n - ceil(t n) + 1 of each. Candidates come from the prefixes of one order; before the sets are compared, a pair
-must also share a prefix shingle in every other order. All orders place frequent shingles last: shingles
-of many documents are counted over the whole corpus, and the commonest of them (a bounded number,
-which sets the orders and never drops a pair) are broadcast.
+n - ceil(t n) + 1 of each. The prefixes of all orders are dealt, and a pair is compared only if the shingles it shares
+among the prefixes of every order, one order after another, still allow that similarity. All orders place
+frequent shingles last: shingles of many documents are counted over the whole corpus, and the commonest of them (a
+bounded number, which sets the orders and never drops a pair) are broadcast.
 
 Equal sets are one representative. A prefix shingle with few representatives gives all their pairs; one with
-many gives the pairs with a pivot. What is not in one class after those pairs were compared gets other pivots
-for some rounds, and then whatever pairs across classes are left, so no link between classes is lost and a
-group of near copies costs as many comparisons as it has members.
+many gives the pairs with a pivot, and its members are kept. Two members whose places in their prefixes leave too few shingles
+for a link (what stands before a first common shingle is not shared) are no pair, so members that differ from all others by
+too much leave the group. What is not in one class after the pairs with pivots gets other pivots for some rounds, and
+then whatever pairs across classes are left, so no link between classes is lost. A group of copies of a text costs
+as many comparisons as it has members; one of copies that are all about as far from each other as the threshold, and have no
+member in the middle, costs more.
+
+A shingle's rows of one task are met by a pivot in that task where they are many (more than `hot`), and only the pivot
+goes on to the bucket, so that a shingle of a third of all documents is never gathered.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing; with fewer words than a
 shingle the whole text is one; rows of one doc_id share its links; null doc_ids count as one document that comes before
@@ -29,48 +35,56 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import buckets, hashing
-from .common import pieces, texts, written
-from .substrings import FEW, NONE, _ids, _pick, _runs
+from .common import FEW, NONE, ids, partitions, pick, pieces, runs_of, scratch, texts, written
 
 #: A shingle of this many documents is frequent; so many of the most frequent are told apart, 8 bytes each.
 FREQUENT, TOLD_APART = 16, 1_000_000
 #: Up to so many members a prefix shingle gives all pairs.
 SMALL = 16
 #: Rounds with other pivots before the rest is paired.
-ROUNDS = 1
+ROUNDS = 2
+#: Sets told apart by a task, so that it deals equal ones once; then it starts anew.
+SEEN = 200_000
+#: Bytes of text that are hashed at once.
+BATCH = 2 << 20
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """Jaccard of at least num / den, on shingles of k words; orders: how many prefix filters a pair must pass."""
+    """Jaccard of at least num / den, on shingles of k words; orders: how many prefix filters a pair must pass.
+
+    hot: with more rows of a shingle than this, a task lets them meet their pivot itself.
+    """
 
     num: int = 75
     den: int = 100
     k: int = 5
     orders: int = 3
+    hot: int = 256
 
-    def prefix(self, n: int) -> int:
+    def prefix(self, n):
         return n - -(-n * self.num // self.den) + 1
 
-    def may_hold(self, shared, n, m):
-        """Whether two sets may be similar of whose prefixes (in one order) so many shingles are shared.
+    def rest(self, n):
+        """How many shingles of a set of n lie beyond its prefix."""
+        return n - self.prefix(n)
 
-        Beyond the prefix that ends first lie at most all the rest of its set; the larger rest is on the safe side.
-        """
-        rest = np.maximum(n - (n - -(-n * self.num // self.den) + 1), m - (m - -(-m * self.num // self.den) + 1))
-        return (shared > 0) & ((self.den + self.num) * (shared + rest) >= self.num * (n + m))
+    def least(self, n, m):
+        """What two sets must share, times den + num."""
+        return self.num * (n + m)
 
     def holds(self, both: int, n: int, m: int) -> bool:
         return self.den * both >= self.num * (n + m - both)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """The set of a text's shingles as sorted hashes."""
-    return np.unique(hashing.runs(hashing.words(text, lower=True), k, short=True))
-
-
-def _signed(x: np.ndarray) -> int:
-    return int(x.sum(dtype=np.uint64).astype(np.int64))
+def _sums(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of the hashes of each set, which tell sets apart."""
+    out = []
+    for seed in (101, 102):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashing.mix(hashes, seed), out=total[1:])
+        out.append((total[at[1:]] - total[at[:-1]]).astype(np.int64))
+    return out[0], out[1]
 
 
 class Orders:
@@ -89,12 +103,14 @@ class Orders:
         key = self.key(tokens)
         return self.frequent[np.minimum(np.searchsorted(self.frequent, key), len(self.frequent) - 1)] == key
 
-    def prefix(self, tokens: np.ndarray, late: np.ndarray, size: int, order: int) -> np.ndarray:
-        """The first `size` of sorted tokens."""
-        early, rest = tokens[~late], tokens[late]
-        if order:
-            early, rest = early[np.argsort(hashing.mix(early, order))], rest[np.argsort(hashing.mix(rest, order))]
-        return np.concatenate([early[:size], rest[: max(0, size - len(early))]])
+    def prefixes(self, tokens: np.ndarray, at: np.ndarray, size: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first `size` of each set in an order: tokens, the number of their set, and their places."""
+        which = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        rank = which * 2 + self.late(tokens)
+        by = np.lexsort((hashing.mix(tokens, order), rank)) if order else np.argsort(rank, kind="stable")
+        place = np.arange(len(tokens)) - at[which]
+        chosen = place < size[which]
+        return tokens[by][chosen], which[chosen], place[chosen]
 
 
 def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -106,18 +122,15 @@ def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
         dealer = buckets.Dealer(n_buckets)
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            for b in dealer.rows():
+            for b in dealer.counted():
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(1, pa.int64())] * 4], schema=schema)
 
         for whole in stream:
-            for b in pieces(whole, "text"):
-                rows = []
-                for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
-                    t = shingles(text, sim.k)
-                    rows.append((doc, len(t), _signed(hashing.mix(t, 101)), _signed(hashing.mix(t, 102))))
-                    if dealer.add(t):
-                        yield from dealt()
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], schema=schema)
+            for b in pieces(whole, "text", BATCH):
+                tokens, at = hashing.sets(b.column("text").to_pylist(), sim.k, lower=True)
+                if dealer.add(tokens):
+                    yield from dealt()
+                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary()), *(pa.array(c, pa.int64()) for c in (ids(b), np.diff(at), *_sums(tokens, at)))], schema=schema)
         yield from dealt()
 
     return docs.mapInArrow(run, "bucket long, runs binary, doc_id long, n long, s1 long, s2 long")
@@ -126,118 +139,165 @@ def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
 def _frequent(dealt: DataFrame) -> np.ndarray:
     """Keys of the most frequent shingles: at most TOLD_APART numbers."""
 
-    def run(tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        size = np.diff(np.r_[new, len(tokens)])
-        keep = size >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[new[keep]].astype(np.int64)), pa.array(size[keep].astype(np.int64))], ["token", "n"])
-
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.cumsum(buckets.unpack(x, "<u4")[0], dtype=np.uint64).astype(np.uint32) for x in table.column("runs").to_pylist()]
-        found = pa.Table.from_batches(list(run(np.sort(np.concatenate(parts)))))
-        high = key[0].as_py() << 32
-        return pa.table({"key": pa.array([high | t for t in found.column("token").to_pylist()], pa.int64()), "n": found.column("n")})
+        parts = [buckets.unpack(x, "<u4", "<u4") for x in table.column("runs").to_pylist()]
+        tokens, n = np.concatenate([np.cumsum(x, dtype=np.uint64).astype(np.uint32) for x, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.argsort(tokens, kind="stable")
+        tokens, n = tokens[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        n, tokens = np.add.reduceat(n, new), tokens[new].astype(np.int64) | key[0].as_py() << 32
+        return pa.table({"key": tokens[n >= FREQUENT], "n": n[n >= FREQUENT]})
 
     top = dealt.groupBy("bucket").applyInArrow(work, "key long, n long").orderBy(F.desc("n"), "key").limit(TOLD_APART)
     return np.sort(np.array([r[0] for r in top.select("key").toLocalIterator()], dtype=np.uint64))
 
 
-def _candidates(docs: DataFrame, sim: Similarity, frequent) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, shared): documents with prefix shingles of order 0 in common, and how many of them were counted.
+KINDS = ("<i8", "<u4", "<u4")  # of a prefix shingle: its document, the set's size, how many shingles stand before it
+#: What a row of the candidates holds: pairs with counts by order, members of groups, counts of grouped shingles by order, shingles.
+PAIRS, MEMBERS, OPEN, DEALT = range(4)
 
-    And members (group, a) of the groups of which only the pairs with a pivot are given.
-    """
-    n_buckets = buckets.count(docs.sparkSession)
+
+def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
+    """kind, bucket, runs: packed PAIRS (a, b, shared prefix shingles by order), MEMBERS (group, a, n, before) of groups of the
+    first order of which only pairs with pivots are given, and for every order how many shingles of a document are in such groups (OPEN)."""
+    n_buckets, orders = buckets.count(docs.sparkSession), sim.orders
+    n_cells = max(1, partitions(docs.sparkSession) // 4)  # fewer than buckets, as every bucket deals to every cell
+
+    def packed(kind: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array([b for b, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())], ["kind", "bucket", "runs"])
+
+    def paired(order: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = a[a != b], b[a != b]
+        counts = [np.full(len(a), int(k == order), "<i8") for k in range(orders)]
+        for x in _merge(n_cells, a, b, counts):
+            yield packed(PAIRS, list(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)))
+
+    def met(order: int, group: np.ndarray, doc: np.ndarray, n: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Members of large groups: in the first order they are kept; their shingles count as open in every order."""
+        if len(group):
+            place = int(doc[0]) % n_buckets
+            if not order:
+                yield packed(MEMBERS, [(place, buckets.pack(group.astype("<i8"), doc.astype("<i8"), n.astype("<i8"), before.astype("<i8")))])
+            own, size = np.unique(doc, return_counts=True)
+            yield packed(OPEN, [(place, buckets.pack(own.astype("<i8"), np.full(len(own), order, "<i8"), size.astype("<i8")))])
+
+    def pivots(key: np.ndarray, columns: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order by key, then by the share of what stands before, then by document; where keys begin; which rows are of large groups.
+
+        The first of a group has the largest share of frequent shingles: of near copies that is what they are copies of.
+        """
+        doc, n, before = columns
+        by = np.lexsort((doc, before / np.maximum(n, 1), key))
+        new = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]]) if len(key) else np.zeros(0, int)
+        size = np.diff(np.r_[new, len(key)])
+        return by, new, np.repeat(size > most, size)
 
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, orders, seen = buckets.Dealer(n_buckets), Orders(frequent.value, n_buckets), set()
+        dealers, places, seen = [buckets.Dealer(n_buckets, 400_000) for _ in range(orders)], Orders(frequent.value, n_buckets), set()
+
+        def dealt(k: int) -> Iterator[pa.RecordBatch]:
+            if not dealers[k].held:
+                return
+            key, columns = dealers[k].sorted()
+            by, new, many = pivots(key, columns, sim.hot)
+            if many.any():
+                key, columns = key[by], [c[by] for c in columns]
+                lead = np.repeat(new, np.diff(np.r_[new, len(key)]))
+                yield from paired(k, columns[0][lead][many], columns[0][many])
+                # the pivot goes on as a member of the group that the bucket sees, so it is one there only
+                rest = many & (lead != np.arange(len(key)))
+                yield from met(k, key[rest].astype("<i8"), *(c[rest] for c in columns))
+                key, columns = key[~rest], [c[~rest] for c in columns]
+            for x in dealers[k].packed(key, columns):
+                yield packed(DEALT, [(k * n_buckets + x.column(0)[0].as_py(), x.column(1)[0].as_py())])
+
         for whole in stream:
-            for b in pieces(whole, "text"):
-                for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
-                    t = shingles(text, sim.k)
-                    same = (len(t), _signed(hashing.mix(t, 101)), _signed(hashing.mix(t, 102)))
-                    if not len(t) or same in seen:
-                        continue  # an equal set has been dealt by this task; equal sets are joined elsewhere
+            for b in pieces(whole, "text", BATCH):
+                tokens, at = hashing.sets(b.column("text").to_pylist(), sim.k, lower=True)
+                n, doc = np.diff(at), np.array(ids(b), "<i8")
+                fresh = np.ones(len(n), bool)
+                for i, same in enumerate(zip(n.tolist(), *(x.tolist() for x in _sums(tokens, at)), strict=True)):
+                    fresh[i] = same not in seen  # an equal set has been dealt by this task; equal sets are joined elsewhere
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(same)
-                    late = orders.late(t)
-                    p = orders.prefix(t, late, sim.prefix(len(t)), 0)
-                    if dealer.add(p, np.full(len(p), doc, "<i8"), np.full(len(p), 255 * int((~late).sum()) // len(t), np.uint8)):
-                        yield from dealer.rows()
-        yield from dealer.rows()
+                for k, dealer in enumerate(dealers):
+                    p, which, place = places.prefixes(tokens, at, np.where(fresh & (n > 0), sim.prefix(n), 0), k)
+                    if dealer.add(hashing.mix(p, 50 + k) if k else p, doc[which], n[which].astype("<u4"), place.astype("<u4")):
+                        yield from dealt(k)
+        for k in range(orders):
+            yield from dealt(k)
 
     def pair(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for blob in table.column("runs").to_pylist():
-            step, doc, own = buckets.unpack(blob, "<u4", "<i8", "u1")
-            parts.append((np.cumsum(step, dtype=np.uint64).astype(np.uint32), doc, own))
-        tokens, doc, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # the pivot has the largest share of frequent shingles: of a group of near copies that is what they are copies of
-        order = np.lexsort((doc, own, tokens))
-        tokens, doc = tokens[order], doc[order]
-        new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        size = np.diff(np.r_[new, len(tokens)])
-        many = np.repeat(size > SMALL, size)
-        a, b = [], []
-        for k in range(1, SMALL):
-            same = np.flatnonzero((tokens[k:] == tokens[:-k]) & ~many[k:])
-            a.append(doc[same])
-            b.append(doc[same + k])
-        a, b = np.concatenate([*a, np.repeat(doc[new], size)[many]]), np.concatenate([*b, doc[many]])
-        out = [*_merge(n_buckets, a[a != b], b[a != b], np.ones(int((a != b).sum()), "<i8"))]
-        group = tokens[many].astype("<i8") | key[0].as_py() << 32
-        rows = [pa.table({"kind": pa.array([0] * x.num_rows, pa.int32()), "bucket": x.column(0), "runs": x.column(1)}) for x in out]
-        if len(group):
-            rows.append(pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([0], pa.int64()), "runs": pa.array([buckets.pack(group, doc[many].astype("<i8"))], pa.binary())}))
-        return pa.concat_tables(rows) if rows else pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+        kinds = table.column("kind").to_pylist()
+        out = [b for b in table.select(["kind", "bucket", "runs"]).filter(pa.array([k != DEALT for k in kinds])).to_batches() if b.num_rows]
+        blobs = [x for k, x in zip(kinds, table.column("runs").to_pylist(), strict=True) if k == DEALT]
+        if blobs:
+            parts = [(np.cumsum(step, dtype=np.uint64), *columns) for step, *columns in (buckets.unpack(x, "<u4", *KINDS) for x in blobs)]
+            tokens, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by, new, many = pivots(tokens, columns, SMALL)
+            tokens, (doc, n, before) = tokens[by], [c[by] for c in columns]
+            order = key[0].as_py() // n_buckets
+            a, b = [], []
+            for k in range(1, SMALL):
+                same = np.flatnonzero((tokens[k:] == tokens[:-k]) & ~many[k:])
+                a.append(doc[same])
+                b.append(doc[same + k])
+            lead = np.repeat(new, np.diff(np.r_[new, len(tokens)]))
+            out += paired(order, np.concatenate([*a, doc[lead][many]]), np.concatenate([*b, doc[many]]))
+            group = tokens.astype("<i8") | (key[0].as_py() % n_buckets) << 32
+            out += met(order, group[many], doc[many], n[many], before[many])
+        return pa.Table.from_batches(out, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("runs", pa.binary())]))
+
+    return docs.mapInArrow(deal, "kind int, bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "kind int, bucket long, runs binary")
+
+
+def _spread(found: DataFrame, kind: int, columns: str) -> DataFrame:
+    """The packed rows of a kind, as rows."""
+    names = columns.split(", ")
 
-    def total(_, a, b, n) -> Iterator[pa.RecordBatch]:
-        order, edge = _runs(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[order][edge], b[order][edge], np.add.reduceat(n[order], edge))], ["a", "b", "shared"])
-
-    def spread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
             for blob in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.unpack(blob, "<i8", "<i8")], ["group", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.unpack(blob, *["<i8"] * len(names))], names)
 
-    found = written(docs.mapInArrow(deal, "bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "kind int, bucket long, runs binary"), "candidates")
-    pairs = buckets.groups(found.filter("kind = 0").select("bucket", "runs"), ("<i8",) * 3, total, "a long, b long, shared long")
-    return pairs, found.filter("kind = 1").select("runs").mapInArrow(spread, "group long, a long")
+    return found.filter(F.col("kind") == kind).select("runs").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _merge(n_buckets: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _merge(n_cells: int, a: np.ndarray, b: np.ndarray, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Sums for each pair, dealt by it."""
     if len(a):
         a, b = np.minimum(a, b), np.maximum(a, b)
-        order, edge = _runs(a, b)
-        dealer = buckets.Dealer(n_buckets)
-        a, b, n = a[order][edge], b[order][edge], np.add.reduceat(n[order], edge)
-        dealer.add(hashing.mix(a.view(np.uint64), 1) ^ hashing.mix(b.view(np.uint64), 2), a, b, n)
+        order, edge = runs_of(a, b)
+        dealer = buckets.Dealer(n_cells)
+        a, b, counts = a[order][edge], b[order][edge], [np.add.reduceat(n[order], edge) for n in counts]
+        dealer.add(hashing.mix(a.view(np.uint64), 1) ^ hashing.mix(b.view(np.uint64), 2), a, b, *counts)
         yield from dealer.rows()
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity, frequent) -> DataFrame:
-    """a, b, linked for pairs of representatives: prefix filters of the other orders, then the sets."""
-    n_buckets = buckets.count(pairs.sparkSession)
+def _shared(found: DataFrame, orders: int) -> DataFrame:
+    """a, b, s0, s1 and so on: how many shingles the pair was seen to share among its prefixes, by order."""
+    names = ["a", "b", *(f"s{k}" for k in range(orders))]
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, kept = Orders(frequent.value, n_buckets), {}
+    def total(_, a, b, *counts) -> Iterator[pa.RecordBatch]:
+        order, edge = runs_of(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[order][edge], b[order][edge], *(np.add.reduceat(n[order], edge) for n in counts))], names)
+
+    return buckets.groups(found.filter(F.col("kind") == PAIRS).select("bucket", "runs"), ("<i8",) * len(names), total, ", ".join(f"{c} long" for c in names))
 
-        def known(raw: bytes) -> tuple:
-            if raw not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                t = np.frombuffer(raw, "<u8")
-                late = orders.late(t)
-                kept[raw] = t, [orders.prefix(t, late, sim.prefix(len(t)), k) for k in range(1, sim.orders)]
-            return kept[raw]
 
+def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """a, b, linked for pairs of representatives that the filters of all orders have passed, by their whole sets."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for batch in pieces(whole, "tb"):
-                linked = []
+                linked, last, t = [], None, None
                 for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                    (t, tp), (u, up) = known(x), known(y)
-                    shared = all(sim.may_hold(len(np.intersect1d(p, q, assume_unique=True)), len(t), len(u)) for p, q in zip(tp, up, strict=True))
-                    linked.append(shared and sim.holds(len(np.intersect1d(t, u, assume_unique=True)), len(t), len(u)))
+                    if x != last:
+                        last, t = x, np.frombuffer(x, "<u8")
+                    u = np.frombuffer(y, "<u8")
+                    linked.append(sim.holds(len(np.intersect1d(t, u, assume_unique=True)), len(t), len(u)))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
@@ -250,77 +310,103 @@ def _sets(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for b in pieces(whole, "text"):
-                sets = [shingles(t, sim.k) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.astype("<u8").tobytes() for t in sets], pa.binary())], ["doc_id", "tokens"])
+            for b in pieces(whole, "text", BATCH):
+                tokens, at = hashing.sets(b.column("text").to_pylist(), sim.k, lower=True)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([tokens[x:y].astype("<u8").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "tokens"])
 
-    return _pick(docs, wanted, "left_semi").mapInArrow(run, "doc_id long, tokens binary")
+    return pick(docs, wanted, "left_semi").mapInArrow(run, "doc_id long, tokens binary")
 
 
 def join(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, representative, component_id: one row for each input row) and tested pairs (a, b, linked)."""
-    spark = docs.sparkSession
-    docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE)))
+    with scratch() as keep:
+        nodes, labels, tested = _classes(texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE))), sim)
+        keep(nodes), keep(labels), keep(tested)
+    out = nodes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    null = lambda c: F.when(c != NONE, c)
+    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.col("rep")).alias("representative"), null(F.coalesce("component", "rep")).alias("component_id")), tested
+
+
+def _classes(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their representatives, the classes of linked representatives, and the pairs that were tested."""
+    both, orders = sim.den + sim.num, range(sim.orders)
     scanned = written(_scan(docs, sim), "scan")
     rows = scanned.filter("bucket is null").select("doc_id", "n", "s1", "s2")
     same = written(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "equal-sets")
     nodes = written(rows.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "nodes")
-    frequent = spark.sparkContext.broadcast(_frequent(scanned.filter("bucket is not null").select("bucket", "runs")))
-    pairs, members = (written(t, label) for t, label in zip(_candidates(docs, sim, frequent), ("shared", "groups"), strict=True))
-    # how many prefix shingles of a document are in groups whose pairs were not all counted
-    known = written(nodes.join(members.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("open")), "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(0))), "known")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(scanned.filter("bucket is not null").select("bucket", "runs")))
+    found = written(_candidates(docs, sim, frequent), "candidates")
+    # how many prefix shingles of a document are, by order, in groups whose pairs were not all counted
+    open_ = _spread(found, OPEN, "doc_id, k, n").groupBy("doc_id").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"o{k}") for k in orders))
+    known = written(nodes.join(open_, "doc_id", "left").na.fill(0, [f"o{k}" for k in orders]), "known")
 
     def represented(t: DataFrame, column: str) -> DataFrame:
-        """The column's documents by their representatives, with n_<column> and open_<column>."""
-        own = known.select(F.col("doc_id").alias(column), F.col("rep").alias(f"r_{column}"), F.col("n").alias(f"n_{column}"), F.col("open").alias(f"open_{column}"))
+        """The column's documents by their representatives, with n_<column> and o0_<column> and so on."""
+        own = known.select(F.col("doc_id").alias(column), F.col("rep").alias(f"r_{column}"), F.col("n").alias(f"n_{column}"), *(F.col(f"o{k}").alias(f"o{k}_{column}") for k in orders))
         return t.join(own, column).drop(column).withColumnRenamed(f"r_{column}", column)
 
-    def sized(t: DataFrame) -> DataFrame:
-        return t.filter((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") * sim.den >= F.greatest("n_a", "n_b") * sim.num))
-
     def rest(n: Column) -> Column:
         return F.ceil(n * sim.num / sim.den) - 1
 
-    def enough(shared: Column) -> Column:
-        """Similarity.may_hold, where at most min(open) of the shared prefix shingles were not counted."""
-        return (shared + F.least("open_a", "open_b") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))) * (sim.den + sim.num) >= sim.num * (F.col("n_a") + F.col("n_b"))
+    def passes(shared: list[Column]) -> Column:
+        """Sizes and the prefixes of every order allow a link; at most min(open) of the shared shingles were not counted."""
+        n, m = F.col("n_a"), F.col("n_b")
+        out = (F.col("a") != F.col("b")) & (F.least(n, m) * sim.den >= F.greatest(n, m) * sim.num)
+        for k, s in zip(orders, shared, strict=True):
+            most = s + F.least(f"o{k}_a", f"o{k}_b")
+            out &= (most > 0) & ((most + F.greatest(rest(n), rest(m))) * both >= sim.least(n, m))
+        return out
 
-    pairs = sized(represented(represented(pairs, "a"), "b")).filter(enough(F.col("shared")))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    members = written(represented(members, "a").groupBy("group", "a").agg(F.max("n_a").alias("n_a"), F.max("open_a").alias("open_a")), "members")
+    def ordered(t: DataFrame) -> DataFrame:
+        return t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    pairs = represented(represented(_shared(found, sim.orders), "a"), "b").filter(passes([F.col(f"s{k}") for k in orders]))
+    pairs = written(ordered(pairs), "pairs")
+    members = represented(_spread(found, MEMBERS, "group, a, n, before").drop("n"), "a")
+    members = members.groupBy("group", "a").agg(*(F.max(c).alias(c) for c in ("n_a", "before", *(f"o{k}_a" for k in orders))))
+    # the largest partner that a member's place leaves room for
+    members = written(members.withColumn("room_a", F.floor((F.col("n_a") - F.col("before")) * both / sim.num) - F.col("n_a")).drop("before"), "members")
+    bounds = members.groupBy("group").agg(F.min("n_a").alias("low"), F.max("room_a").alias("room"))
+    members = written(members.join(bounds, "group").filter("room_a >= low and n_a <= room").drop("low", "room"), "members")
     sets = written(_sets(docs, pairs.union(members.select("a", F.col("a").alias("b"))), sim), "sets")
-    tested = written(_compare(pairs, sets, sim, frequent), "tested")
+    tested = written(_compare(pairs, sets, sim), "tested")
     labels = components(tested.filter("linked").select("a", "b"))
+    own = ["n_a", "room_a", *(f"o{k}_a" for k in orders)]
     for k in range(ROUNDS + 1):
         placed = members.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        other = [F.col(c).alias(d) for c, d in (("a", "b"), ("component", "cb"), ("n_a", "n_b"), ("open_a", "open_b"))]
-        central = F.struct((-F.col("open_a") / F.col("n_a")).alias("own"), F.xxhash64("a", F.lit(k)), *other)
-        open_ = placed.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(central).alias("pivot")).filter("c0 < c1")
-        open_ = written(open_.select("group", "pivot.b", "pivot.cb", "pivot.n_b", "pivot.open_b"), "open")
+        other = [F.col(c).alias(d) for c, d in (("a", "b"), ("component", "cb"), *((c, f"{c[:-1]}b") for c in own))]
+        middle = F.struct((-F.col("o0_a") / F.col("n_a")).alias("own"), F.xxhash64("a", F.lit(k)), *other)
+        sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"), F.min(middle).alias("pivot"))
+        # the first round takes the member in the middle, later ones that of the second largest class, and so on
+        by = F.struct(F.col("n").alias("n"), F.col("component").alias("c"))
+        open_ = sizes.groupBy("group").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(by).alias("main"), F.min("pivot").alias("pivot")).filter("c0 < c1")
+        if k:
+            open_ = sizes.join(open_.select("group", "main.c"), "group").filter("component <> c").groupBy("group").agg(F.max(F.struct("n", F.xxhash64("component", F.lit(k)), "pivot")).alias("m")).select("group", F.col("m.pivot").alias("pivot"))
+        open_ = written(open_.select("group", "pivot"), "open")
         if open_.isEmpty():
             break
-        # pairs that share shingles of other groups have been judged with those; here the uncounted ones must do
         if k < ROUNDS:
-            more = placed.join(open_, "group").filter("component <> cb")
+            pivot = open_.select("group", *(f"pivot.{c}" for c in ("b", "cb", *(f"{c[:-1]}b" for c in own))))
+            more = placed.join(pivot, (placed["group"] == pivot["group"]) & (placed["component"] != pivot["cb"])).drop(pivot["group"])
         else:
             left = written(placed.join(open_.select("group"), "group"), "rest")
-            more = left.join(left.select("group", *other), "group").filter("component < cb")
-        more = sized(more).filter(enough(F.lit(0))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            right = left.select(F.col("group").alias("g"), *other)
+            more = left.join(right, (F.col("group") == F.col("g")) & (F.col("component") < F.col("cb")) & (F.col("n_b") <= F.col("room_a")) & (F.col("n_a") <= F.col("room_b")) & (F.least("n_a", "n_b") * sim.den >= F.greatest("n_a", "n_b") * sim.num))
+        more = ordered(more.filter(passes([F.lit(0)] * sim.orders) & (F.col("n_b") <= F.col("room_a")) & (F.col("n_a") <= F.col("room_b")))).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = written(more, "more")
         if more.isEmpty():
             continue
-        more = written(_compare(more, sets, sim, frequent), "tested")
-        tested = tested.unionByName(more)
+        more = written(_compare(more, sets, sim), "tested")
         if not more.filter("linked").isEmpty():
-            labels = components(tested.filter("linked").select("a", "b"))
-    out = nodes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    null = lambda c: F.when(c != NONE, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.col("rep")).alias("representative"), null(F.coalesce("component", "rep")).alias("component_id")), tested
+            labels = components(tested.unionByName(more).filter("linked").select("a", "b"))
+        tested = written(tested.unionByName(more), "tested")
+    return nodes, labels, tested
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """The documents, with all their columns, that are the first of their class; of rows that share an id, one."""
-    member = written(join(docs, sim)[0].select("doc_id", "component_id"), "members")
+    with scratch() as kept:
+        member = kept(written(join(docs, sim)[0].select("doc_id", "component_id"), "members"))
     keep = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NONE)).alias("kept_id"))
     repeated = keep.groupBy("kept_id").count().filter("count > 1").drop("count")
     keep, repeated = written(keep.distinct(), "keep"), written(repeated, "repeated")

@@ -26,7 +26,8 @@ def fixture(spark, sf):
     return docs, spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id long, text string, tokens string, n int")
 
 
-def test_substrings(spark, sf):
+@pytest.mark.parametrize("hot", [64, 3])
+def test_substrings(spark, sf, hot):
     docs, df = fixture(spark, sf)
     words = [(d, WORD.findall(t or "")) for d, t in docs]
     first = {}
@@ -39,7 +40,7 @@ def test_substrings(spark, sf):
         gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(substrings.dedup(df)).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(substrings.dedup(df, hot=hot)).collect()}
     assert got == want
     assert substrings.dedup(df.filter("false")).count() == 0
 
@@ -92,18 +93,31 @@ def test_ngram_classes(spark, sf):
     assert jaccard.join(df.filter("false"))[0].count() == 0
 
 
-def test_near_copies_without_their_source(spark):
-    """Copies that differ from each other by more than a quarter are linked through some only."""
+@pytest.mark.parametrize("hot", [256, 8])
+def test_near_copies_without_their_source(spark, hot):
+    """Copies that differ from each other by more than a quarter are linked through some only; tests of pairs stay linear in copies."""
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(90)]
     docs = []
-    for d in range(80):
+    for d in range(400):
         w = list(base)
-        for i in rng.choice(90, rng.integers(0, 4), replace=False):
+        for i in rng.choice(90, rng.integers(0, 5), replace=False):
             w[i] = f"d{d}i{i}"
         docs.append((d, " ".join(w)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()}
+    member, tested = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), jaccard.Similarity(hot=hot))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in member.collect()} == brute_classes(docs)
+    assert tested.count() <= 8 * len(docs)
+
+
+def test_long_texts_and_ties_of_similarity(spark):
+    """Texts of 20,000 words, and pairs at a similarity of exactly three quarters and just below."""
+    long = [f"l{i % 9973}z{i}" for i in range(20_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:17_000])), (3, " ".join(long[:14_000])), (4, None)]
+    docs += [(10, " ".join(f"t{i}" for i in range(104))), (11, " ".join(f"t{i}" for i in range(79))), (12, " ".join(f"t{i}" for i in range(26, 104)))]
+    member, _ = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in member.collect()}
     assert got == brute_classes(docs)
+    assert got[11][1] == 10 and got[12][1] == 12 and got[2][1] == 1
 
 
 @pytest.mark.parametrize("block", [2000, 60])
