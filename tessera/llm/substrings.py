@@ -9,8 +9,10 @@ A shard must not meet every document, or the work grows with the square of the c
 therefore what others repeat: hashed runs of `length` words are dealt to buckets, and each bucket names, for a
 document, the first document of each run and where both lie. Reference pieces (bounded in words) are dealt to
 shards of bounded size, and the parts of documents in question to copies of the shard, as many as they need,
-so a passage that a third of all documents share is only matched by more tasks. The hashes merely route:
-what is removed is decided on words, in the automata.
+so a passage that a third of all documents share is only matched by more tasks. Where many of a task's documents have one run
+(more than `HOT`), they are referred to the first of them in the task, and only that one goes on to the bucket: any
+document with a smaller id will do, so a hot run is neither gathered in one bucket nor copied from one document. The hashes
+merely route: what is removed is decided on words, in the automata.
 
 Defined results: null and empty texts have no words; rows of one doc_id are one document, each row with its own
 text; null doc_ids come before all others (as the smallest) and never lose words; an empty table gives no
@@ -24,18 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets, hashing
-from .common import batches, partitions, pieces, texts, written
+from .common import NONE, batches, ids, partitions, pick, pieces, runs_of, scratch, texts, written
 
 BLOCK = 128  # positions are kept to so many words
 PIECE = 256 * BLOCK  # words of a reference piece
 SHARD = 48  # reference pieces of a shard, on average
-STREAM = 512  # documents that one copy of a shard is meant for
-NONE = -(1 << 63)  # a null doc_id
-FEW = 1_000_000  # ids (8 MB) up to which a broadcast picks documents; beyond, a shuffled join does
+STREAM = 512  # documents that one copy of a shard is meant for; a piece with more of them is a shard of its own
+HOT = 64  # documents of a task with one run, beyond which they are referred to the first of them there
 
 
 class SuffixAutomaton:
@@ -119,15 +121,11 @@ class SuffixAutomaton:
         return out
 
 
-def _ids(batch: pa.RecordBatch) -> list[int]:
-    return [NONE if x is None else x for x in batch.column("doc_id").to_pylist()]
-
-
 def _key(text: str | None) -> bytes:
     return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
-def repeats(docs: DataFrame, length: int) -> DataFrame:
+def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """d, f, piece, b0, b1: document d has runs, in its blocks b0 to b1, that start first in document f, in its piece."""
     n_buckets = buckets.count(docs.sparkSession)
     n_cells = max(1, partitions(docs.sparkSession) // 4)  # fewer than buckets, as every bucket deals to every cell
@@ -146,15 +144,42 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
         least = hashing.mix(least)  # the least of several is far from even
         return (least & np.uint64(0xFFFFFFFF00000000)) | (whole & np.uint64(0xFFFFFFFF)), (whole >> np.uint64(32)).astype("<u4")
 
+    arrow = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("runs", pa.binary())])
+
+    def dealt(dealer: buckets.Dealer) -> Iterator[pa.RecordBatch]:
+        """Rows for buckets, and such as are settled here, with the cell that they are for."""
+        if not dealer.held:
+            return
+        key, (check, doc, block) = dealer.sorted()
+        order = np.lexsort((block, doc, check, key))
+        key, check, doc, block = key[order], check[order], doc[order], block[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
+        size = np.diff(np.r_[new, len(key)])
+        lead = np.repeat(new, size)
+        settled = np.repeat(size > hot, size) & (doc > doc[lead])
+        own = block[settled].astype("<i8")
+        for b in merge(doc[settled], doc[lead][settled], (block[lead][settled] // (PIECE // BLOCK)).astype("<i8"), own, own):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1)], schema=arrow)
+        for b in dealer.packed(key[~settled], [x[~settled] for x in (check, doc, block)]):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.int64()), b.column(1)], schema=arrow)
+
     def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = buckets.Dealer(n_buckets)
         for whole in stream:
             for b in pieces(whole, "text"):
-                for doc, text in zip(_ids(b), b.column("text").to_pylist(), strict=True):
+                for doc, text in zip(ids(b), b.column("text").to_pylist(), strict=True):
                     h, check = placed(hashing.words(text, lower=False))
                     if dealer.add(h, check, np.full(len(h), doc, "<i8"), (np.arange(len(h)) // BLOCK).astype("<u4")):
-                        yield from dealer.rows()
-        yield from dealer.rows()
+                        yield from dealt(dealer)
+        yield from dealt(dealer)
+
+    def name(table: pa.Table) -> pa.Table:
+        open_ = pc.is_null(table.column("cell"))
+        out = [pa.RecordBatch.from_arrays([b.column("cell"), b.column("runs")], ["bucket", "runs"]) for b in table.filter(pc.invert(open_)).to_batches()]
+        if blobs := table.filter(open_).column("runs").to_pylist():
+            parts = [(np.cumsum(step, dtype=np.uint64).astype(np.uint32), *columns) for step, *columns in (buckets.unpack(x, "<u4", "<u4", "<i8", "<u4") for x in blobs)]
+            out += first(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return pa.Table.from_batches(out, schema=pa.schema([("bucket", pa.int64()), ("runs", pa.binary())]))
 
     def first(tokens: np.ndarray, check: np.ndarray, doc: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = tokens.astype(np.uint64) << np.uint64(32) | check
@@ -173,7 +198,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     def merge(d, f, p, low, high) -> Iterator[pa.RecordBatch]:
         """One row for each (d, f, p), dealt anew by it."""
         if len(d):
-            order, edge = _runs(d, f, p)
+            order, edge = runs_of(d, f, p)
             d, f, p = (x[order][edge] for x in (d, f, p))
             dealer = buckets.Dealer(n_cells)
             with np.errstate(over="ignore"):
@@ -182,44 +207,23 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
             yield from dealer.rows()
 
     def total(_, d, f, p, low, high) -> Iterator[pa.RecordBatch]:
-        order, edge = _runs(d, f, p)
+        order, edge = runs_of(d, f, p)
         columns = (*(x[order][edge] for x in (d, f, p)), np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["d", "f", "piece", "b0", "b1"])
 
-    dealt = docs.mapInArrow(deal, "bucket long, runs binary")
-    named = buckets.groups(dealt, ("<u4", "<i8", "<u4"), first, "bucket long, runs binary")
+    named = docs.mapInArrow(deal, "bucket long, cell long, runs binary").groupBy("bucket").applyInArrow(name, "bucket long, runs binary")
     return buckets.groups(named, ("<i8",) * 5, total, "d long, f long, piece long, b0 long, b1 long")
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, and where each begins."""
-    order = np.lexsort(keys)
-    change = np.zeros(len(order), bool)
-    change[0] = True
-    for k in keys:
-        change[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.flatnonzero(change)
-
-
-def _pick(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """Join by the document's id, which is unique in table. Only ids are broadcast, and only after they were counted."""
-    ids = table.select("doc_id")
-    if ids.count() > FEW:
-        return docs.join(table, "doc_id", how)
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    if how == "left_semi":
-        return chosen
-    joined = chosen.join(table, "doc_id")
-    return joined if how == "inner" else joined.unionByName(docs.join(F.broadcast(ids), "doc_id", "left_anti"), allowMissingColumns=True)
-
-
-def spans(docs: DataFrame, *, length: int = 13) -> DataFrame:
+def spans(docs: DataFrame, *, length: int = 13, hot: int = HOT) -> DataFrame:
     """doc_id, key (of the text), spans: maximal spans of words (first, past the last) to remove."""
     spark = docs.sparkSession
     docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE)))
-    pairs = written(repeats(docs, length), "repeats")
-    n_shards = max(1, -(-pairs.select("f", "piece").distinct().count() // SHARD))
-    pairs = pairs.withColumn("shard", F.pmod(F.xxhash64("f", "piece"), F.lit(n_shards)))
+    pairs = written(repeats(docs, length, hot), "repeats")
+    pieces_of = written(pairs.groupBy("f", "piece").agg(F.count("*").alias("n")), "pieces")
+    n_shards = max(1, -(-pieces_of.filter(F.col("n") <= STREAM).count() // SHARD))
+    own = F.xxhash64("f", "piece")
+    pairs = pairs.join(pieces_of, ["f", "piece"]).withColumn("shard", F.when(F.col("n") > STREAM, own).otherwise(F.pmod(own, F.lit(n_shards))))
     stream = pairs.groupBy("shard", "d").agg(F.min("b0").alias("b0"), F.max("b1").alias("b1"))
     copies = stream.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).alias("copies"))
     routes = stream.join(copies, "shard").select(F.col("d").alias("doc_id"), F.struct("shard", F.pmod(F.xxhash64("d"), F.col("copies")).alias("copy"), F.lit(1).alias("kind"), (F.col("b0") * BLOCK).alias("a"), ((F.col("b1") + 1) * BLOCK + length - 1).alias("b")).alias("r"))
@@ -259,18 +263,19 @@ def spans(docs: DataFrame, *, length: int = 13) -> DataFrame:
                     rows.append({"doc_id": r["doc_id"], "key": r["key"], "a": [r["a"] + x for x, _ in found], "b": [r["a"] + y for _, y in found]})
             yield from batches(rows, out_schema)
 
-    parts = _pick(docs, routes, "inner").mapInArrow(cut, "shard long, copy long, kind int, doc_id long, key binary, a long, text binary")
+    parts = pick(docs, routes, "inner").mapInArrow(cut, "shard long, copy long, kind int, doc_id long, key binary, a long, text binary")
     dealt = parts.repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     found = dealt.mapInArrow(match, "doc_id long, key binary, a array<long>, b array<long>")
     return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("spans"))
 
 
-def dedup(docs: DataFrame, *, length: int = 13) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 13, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words that are left, joined by one space."""
     plain = texts(docs)
     keyed = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NONE)))
-    removed = written(spans(docs, length=length), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("texts"))
-    removed = written(removed, "removed")
+    with scratch() as keep:
+        removed = spans(docs, length=length, hot=hot).groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("texts"))
+        removed = keep(written(removed, "removed"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def keep(batch_stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +294,7 @@ def dedup(docs: DataFrame, *, length: int = 13) -> DataFrame:
                     rows.append({"doc_id": None if r["doc_id"] == NONE else r["doc_id"], "n_words": len(words), "n_removed": int((~stay).sum()), "kept": kept.decode("utf-8", "surrogatepass")})
                 yield from batches(rows, schema)
 
-    return _pick(keyed, removed, "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return pick(keyed, removed, "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
