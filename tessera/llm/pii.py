@@ -5,10 +5,12 @@ bounded-entity dynamic program chooses boundaries and kinds jointly (no entity i
 tokens, so it is linear in the text). The weights are learned here by maximising the conditional likelihood of a
 generated, seeded set of sentences with personal data in many spellings and with numbers that look like it.
 
+A candidate touches a seed: an @, a bracketed "at" or "dot", or a number with its separators of nine characters or more; shorter
+numbers and an unbracketed "at" start none, by the field's definition. So away from seeds only `nothing` is possible, and the program
+falls apart into stretches of `LONGEST` tokens around them, with the same result as over the whole text.
+
 Four exact rules give base spans (an email, an IPv4 address, a card number with its checksum, an international
-phone number); those always stay. The field decodes what lies between them: stretches of a few tokens around
-what could belong to an entity (digits, @, spelled-out signs); everywhere else only `nothing` is possible, and the
-program falls apart into these stretches without loss.
+phone number); those always stay. The field decodes what lies between them, each gap by itself.
 
 Defined results: null and empty texts have no spans; each row of a repeated id is judged by itself; an empty
 table gives no rows; other columns are ignored. Positions are code points, ends exclusive.
@@ -16,6 +18,8 @@ table gives no rows; other columns are ignored. Positions are code points, ends
 
 from __future__ import annotations
 
+import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -71,7 +75,6 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 SEED = re.compile(r"\d[\d\x20().-]{7,}\d|@|[\[({<]\s?(?:at|dot)\s?[\])}>]", re.I)
-AROUND = 60  # characters on each side of what could belong to an entity
 # Words that announce a kind.
 ANNOUNCE = {
     **dict.fromkeys(("email", "mail", "mailto", "courriel", "correo"), "email"), **dict.fromkeys(("ip", "host", "server", "address", "adresse"), "ip"),
@@ -123,9 +126,14 @@ class Field:
         self.ids: dict[str, int] = {}
         self.w = np.zeros((0, len(KINDS)))
 
-    def lattice(self, text: str, toks: list, grow: bool) -> list[tuple[int, int, np.ndarray]]:
-        """Candidate segments (first, last, features): they hold a digit or a sign and begin and end sensibly."""
-        useful = [any(c.isdigit() for c in t[0]) or t[0] == "@" or t[0].lower() in ("at", "dot") for t in toks]
+    def lattice(self, text: str, toks: list, grow: bool, seeds: list[tuple[int, int]] | None = None) -> list[tuple[int, int, np.ndarray]]:
+        """Candidate segments (first, last, features): they touch a seed and begin and end sensibly."""
+        seeds = seeds_of(text, 0, len(text)) if seeds is None else seeds
+        useful, k = [], 0
+        for _, a, b in toks:
+            while k < len(seeds) and seeds[k][1] <= a:
+                k += 1
+            useful.append(k < len(seeds) and seeds[k][0] < b)
         out = []
         for i in range(len(toks)):
             if not (toks[i][0].isalnum() or toks[i][0] in "+("):
@@ -136,12 +144,12 @@ class Field:
                     out.append((i, j, np.array([x for x in f if x >= 0], np.int64)))
         return out
 
-    def best(self, text: str, toks: list) -> list[tuple[int, int, int]]:
-        """(kind, start, end) of the most probable segmentation."""
+    def best(self, text: str, toks: list, seeds: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+        """(kind, start, end) of the most probable segmentation; seeds: those of the whole text where None."""
         n = len(toks)
         score, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         ends: dict[int, list] = {}
-        for i, j, f in self.lattice(text, toks, grow=False):
+        for i, j, f in self.lattice(text, toks, False, seeds):
             w = self.w[f].sum(axis=0)
             k = int(w.argmax())
             ends.setdefault(j + 1, []).append((i, float(w[k]), k))
@@ -243,31 +251,63 @@ def examples(count: int = 700, seed: int = 11) -> list[tuple[str, list[tuple[int
     return out
 
 
+def seeds_of(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    return [m.span() for m in SEED.finditer(text, start, stop)]
+
+
+def _around(text: str, a: int, b: int, start: int, stop: int) -> tuple[int, int]:
+    """The seed from a to b with as many tokens on each side as a segment and its features may reach, between start and stop."""
+    reach = LONGEST + 2
+    for size in itertools.count(6):
+        low, high = max(start, a - (1 << size)), min(stop, b + (1 << size))
+        while start < low and _one(text[low - 1], text[low]):  # to the edge of a token
+            low -= 1
+        while high < stop and _one(text[high - 1], text[high]):
+            high += 1
+        if (low == start or len(tokens(text, low, a)) >= reach) and (high == stop or len(tokens(text, b, high)) >= reach):
+            return low, high
+
+
+def _one(x: str, y: str) -> bool:
+    """Whether two neighbouring characters may be of one token."""
+    return (x.isdecimal() and y.isdecimal()) or (x.isalnum() and y.isalnum() and not (x.isdecimal() or y.isdecimal()))
+
+
+def gaps(taken: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """What lies between spans, which may overlap and nest."""
+    out, at = [], 0
+    for a, b in [*sorted(taken), (size, size)]:
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out
+
+
 def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and spans that the field adds beside them."""
     text = text or ""
     sure, more = base(text), []
-    if sure or SEED.search(text):
-        taken = sorted((a, b) for _, a, b in sure)
-        stretches: list[list[int]] = []
-        for m in SEED.finditer(text):
-            a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    if not SEED.search(text):
+        return sure, more
+    for start, stop in gaps([(a, b) for _, a, b in sure], len(text)):
+        stretches: list[tuple[int, int, list]] = []
+        for seed in seeds_of(text, start, stop):
+            a, b = _around(text, *seed, start, stop)
             if stretches and a <= stretches[-1][1]:
-                stretches[-1][1] = b
+                stretches[-1] = (stretches[-1][0], max(b, stretches[-1][1]), [*stretches[-1][2], seed])
             else:
-                stretches.append([a, b])
-        for a, b in stretches:
-            while 0 < a and text[a - 1].isalnum() and text[a].isalnum():  # to the edge of a token
-                a -= 1
-            while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-                b += 1
-            edges = [a, *(min(max(x, a), b) for s, e in taken if s < b and e > a for x in (s, e)), b]
-            for s, e in zip(edges[::2], edges[1::2], strict=True):
-                if s < e and SEED.search(text, s, e):
-                    more += field.best(text, tokens(text, s, e))
+                stretches.append((a, b, [seed]))
+        for a, b, seeds in stretches:
+            more += field.best(text, tokens(text, a, b), seeds)
     return sure, more
 
 
+@functools.cache
+def trained() -> Field:
+    """The field fit on the generated examples, once for a program."""
+    return Field().fit(examples())
+
+
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,stop:long>>, added array<struct<kind:string,start:long,stop:long>>"
 _span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 ARROW = pa.schema([("doc_id", pa.int64()), ("base", _span), ("added", _span)])
@@ -275,7 +315,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("base", _span), ("added", _span)])
 
 def entities(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base and added spans."""
-    held = docs.sparkSession.sparkContext.broadcast(field or Field().fit(examples()))
+    held = docs.sparkSession.sparkContext.broadcast(field or trained())
     struct = lambda spans: [{"kind": KINDS[k], "start": a, "stop": b} for k, a, b in sorted(spans)]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +332,7 @@ def entities(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all other columns stay as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(field or Field().fit(examples()))
+    held = docs.sparkSession.sparkContext.broadcast(field or trained())
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
