@@ -9,7 +9,7 @@ counts nothing. A row's score is a logistic function of its weight and its weigh
 
 Everything but that fit covers all rows alike. Neither label, language, source nor id enters a score.
 Defined results: null and empty texts score as texts without matches; unlabelled rows are scored as others;
-repeated ids score each by its own text; without toxic training rows every score is 0; other columns are ignored.
+repeated ids score each by its own text; without toxic training rows every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pieces, texts, written
+from .common import batches, pieces, scratch, texts, written
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -118,21 +118,29 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 20_000, max_terms: int = 2_000, candidates: int = 20_000, exceptions: tuple[str, ...] = ()) -> Model:
     """Learn lexicon, exceptions and calibration from at most max_rows labelled rows outside the held-out part."""
+    with scratch():
+        return _fit(docs, labels, label, max_rows, max_terms, candidates, exceptions)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_terms: int, candidates: int, exceptions: tuple[str, ...]) -> Model:
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # at most max_rows pairs of numbers; copies of a text teach nothing twice
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "y", "text")
-    rows = written(rows.withColumn("h", F.xxhash64("text")).groupBy("h", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text"), "toxic-sample")
+    found = texts(docs).join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "toxic-found")
+    first = found.groupBy("h", "y").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")  # no text is shuffled
+    rows = written(found.join(F.broadcast(first), "row", "left_semi").select("y", "text"), "toxic-sample")
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = Counter()
-        for b in stream:
-            for t in b.column(0).to_pylist():
-                n.update(terms(folded(t)))
-                if len(n) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["term", "n"])
-                    n.clear()
+        for whole in stream:
+            for b in pieces(whole, "text", 1 << 20):
+                for t in b.column(0).to_pylist():
+                    n.update(terms(folded(t)))
+                    if len(n) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+                        n = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
     n_pos, n_neg = (int(x or 0) for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
@@ -145,10 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: i
     wanted = spark.sparkContext.broadcast({t: i for i, t in enumerate(order)})
 
     def present(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in stream:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = [i for x in terms(folded(t)) if (i := wanted.value.get(x)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], ["y", "ids"])
+        for whole in stream:
+            for b in pieces(whole, "text", 1 << 20):
+                ids = [[i for x in terms(folded(t)) if (i := wanted.value.get(x)) is not None] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
 
     marked = written(rows.select("y", "text").mapInArrow(present, "y int, ids array<int>"), "toxic-terms")
     neg = dict(marked.filter("y = 0").select(F.explode("ids").alias("i")).groupBy("i").count().collect())  # at most `candidates` rows
@@ -189,25 +197,29 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
 
     def around(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
-        for b in stream:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                line, out = f" {' '.join(folded(t))} ", set()
-                for a, e, _ in model.hits(line, machine):
-                    end = line.find(" ", max(e, a + 1))
-                    if (left := line.rfind(" ", 0, a)) >= 0:
-                        out.add(line[left : end + 1])
-                    if (right := line.find(" ", end + 1)) > 0:
-                        out.add(line[a : right + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string()), pa.array([y] * len(out), pa.int32())], ["phrase", "y"])
+        for whole in stream:
+            for b in pieces(whole, "text", 1 << 20):
+                found: list[tuple[str, int]] = []
+                for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    line, out = f" {' '.join(folded(t))} ", set()
+                    for a, e, _ in model.hits(line, machine):
+                        end = line.find(" ", max(e, a + 1))
+                        if (left := line.rfind(" ", 0, a)) >= 0:
+                            out.add(line[left : end + 1])
+                        if (right := line.find(" ", end + 1)) > 0:
+                            out.add(line[a : right + 1])
+                    found += [(x, y) for x in sorted(out)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["phrase", "y"])
 
     clean = rows.select("y", "text").mapInArrow(around, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(1000)
     model = Model(model.weights, (*model.exceptions, *sorted(r["phrase"] for r in clean.collect())))
 
     def measure(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
-        for b in stream:
-            x = [model.features(folded(t), machine) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64())], ["y", "a", "b"])
+        for whole in stream:
+            for b in pieces(whole, "text", 1 << 20):
+                x = [model.features(folded(t), machine) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64())], ["y", "a", "b"])
 
     seen = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(measure, "y int, a double, b double").collect()])  # at most max_rows rows
     seen = seen[np.lexsort(seen.T)]
