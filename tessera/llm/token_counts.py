@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import pieces, texts, written
 from .tokens import encoder
 
 BLOCK = 1024
@@ -33,7 +33,8 @@ def histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
             for batch in pieces(whole, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode(t)) // size for t in batch.column(1).to_pylist()], pa.int64())], ["n_tokens"])
 
-    return texts(docs).mapInArrow(run, "n_tokens long").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # written, as what is asked of a histogram reads it more than once
+    return written(texts(docs).mapInArrow(run, "n_tokens long").groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
