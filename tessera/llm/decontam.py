@@ -1,13 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised benchmark texts.
 
 Every run of `window` consecutive words of an item is a pattern of the automaton (an item with fewer words is
-one pattern). A document is normalised once, the automaton scans it once, and matches are kept as
-word positions, which map to offsets of the original text. The benchmark's size is checked first: up to
-`limit_bytes` it is one automaton; a larger one is dealt in parts of that size, each broadcast and scanned in
-a pass of its own over the texts, and each pass adds its hits to those of the passes before.
+one pattern); its letters are numbers of words. A document is normalised once, the automaton scans it once, and matches are kept as
+word positions, which map to offsets of the original text. The automaton's size is checked first: up to
+`limit_nodes` the benchmark is one automaton; a larger one is dealt in parts of that many nodes, each broadcast and scanned in
+a pass of its own over the texts. A pass writes its hits beside the texts for the next, so no worker holds two automata.
 
 Defined results: null and empty texts have no words and no hits; an item without words is never hit; repeated
-items each count by their own id; an empty benchmark hits nothing; other columns are ignored.
+items each count by their own id, a null id as the empty string; an empty benchmark hits nothing; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import batches, pieces, texts
+from .common import batches, pieces, scratch, texts, written
 
 #: ASCII other than letters and digits parts words; A-Z are lower-cased; all else belongs to words.
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -32,34 +34,34 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE)
 
 
-def automaton(items: list[tuple], window: int) -> ahocorasick.Automaton | None:
-    """Patterns stand between spaces, so that a match is whole words; a pattern's value: its words and items."""
-    found: dict[str, tuple[int, set]] = {}
-    for item, text in items:
-        words = normalised(text).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].add(str(item))
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for pattern, (n, ids) in found.items():
-        out.add_word(pattern, (n, sorted(ids)))
-    out.make_automaton()
-    return out
-
-
-def matches(text: str | None, machine: ahocorasick.Automaton | None) -> tuple[list[tuple[int, int]], set[str]]:
-    """Hit runs of words (first, past the last), merged, and the items."""
-    words = normalised(text).split()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    found = list(machine.iter(line)) if machine is not None else []
-    if not found:
-        return [], set()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the space after each word is in `line`
-    last = np.searchsorted(ends, np.array([stop for stop, _ in found]))
-    runs = [(int(e) - n + 1, int(e) + 1) for e, (_, (n, _)) in zip(last, found, strict=True)]
-    return merged(runs), set().union(*(ids for _, (_, ids) in found))
+class Machine:
+    """Patterns are tuples of word numbers; a pattern's value: its words and items."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        self.numbers: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], tuple[int, set]] = {}
+        for item, words in items:
+            line = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            for i in range(max(1, len(line) - window + 1) if line else 0):
+                part = tuple(line[i : i + window])
+                found.setdefault(part, (len(part), set()))[1].add(item)
+        self.automaton = None
+        if found:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for pattern, (n, ids) in found.items():
+                self.automaton.add_word(pattern, (n, sorted(ids)))
+            self.automaton.make_automaton()
+
+    def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit runs of words (first, past the last), merged, and the items."""
+        line = tuple(self.numbers.get(w, 0) for w in words) if self.automaton else ()
+        if not any(line):
+            return [], set()
+        runs, ids = [], set()
+        for last, (n, items) in self.automaton.iter(line):
+            runs.append((last + 1 - n, last + 1))
+            ids.update(items)
+        return merged(runs), ids
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,63 +88,81 @@ def row(doc_id: int | None, text: str | None, runs: list[tuple[int, int]], items
     return {"doc_id": doc_id, "n_words": len(norm.split()), "n_hit": sum(b - a for a, b in runs), "items": sorted(items), "spans": spans}
 
 
-def chunks(benchmark: DataFrame, *, key: str, text: str, limit_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in parts of at most limit_bytes (or one item), read part by part."""
-    part, size = [], 0
-    for r in benchmark.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).toLocalIterator():
-        n = len(r["t"] or "")
-        if size + n > limit_bytes and part:
-            yield part
-            part, size = [], 0
-        part.append((r["k"], r["t"]))
-        size += n
+def chunks(benchmark: DataFrame, *, key: str, text: str, window: int, limit_nodes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's words by item, in parts whose automata have at most limit_nodes nodes; a longer item is cut between its windows."""
+    part, free, most = [], limit_nodes // window, limit_nodes // window  # in windows
+    for r in benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("string").alias("t")).toLocalIterator():
+        words, at = normalised(r["t"]).split(), 0
+        n = max(1, len(words) - window + 1) if words else 0
+        while at < n:
+            if not free:
+                yield part
+                part, free = [], most
+            to = min(n, at + free)
+            part.append((r["k"], words[at : to + window - 1]))
+            free -= to - at
+            at = to
     yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, key: str = "item_id", text: str = "text", limit_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as strings), spans (code points of the original)."""
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(p) for p in chunks(benchmark, key=key, text=text, limit_bytes=limit_bytes)]
-    so_far = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.list_(pa.int64()))), ("ids", pa.list_(pa.string()))])
+def _passes(docs: DataFrame, benchmark: DataFrame, finish, schema, *, window: int, key: str, text: str, limit_nodes: int) -> DataFrame:
+    """finish(batch, runs, items) for all documents, with the hits of all parts; one pass for each part."""
+    if limit_nodes < window:
+        raise ValueError("an automaton must have room for a window")
+    sc, columns, at = docs.sparkSession.sparkContext, docs.columns, docs.columns.index("text")
+    fields = [f"hits_{k}" for k in range(len(columns) + 2) if f"hits_{k}" not in columns][:2]
+    between = StructType([*docs.schema.fields, StructField(fields[0], ArrayType(ArrayType(LongType()))), StructField(fields[1], ArrayType(StringType()))])
 
-    def run(items, last: bool):
-        def passed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton(items.value, window)
+    def scan(items, first: bool, last: bool):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = Machine(items.value, window)
             for whole in stream:
                 for b in pieces(whole, "text"):
-                    rows = []
-                    for r in b.to_pylist():
-                        runs, ids = matches(r["text"], machine)
-                        runs = merged([*map(tuple, r.get("runs") or ()), *runs])
-                        ids |= set(r.get("ids") or ())
-                        rows.append(row(r["doc_id"], r["text"], runs, ids) if last else {"doc_id": r["doc_id"], "text": r["text"], "runs": [list(x) for x in runs], "ids": sorted(ids)})
-                    yield from batches(rows, ARROW if last else so_far)
-
-        return passed
-
-    out = texts(docs)
-    for k, items in enumerate(parts, 1):
-        out = out.mapInArrow(run(items, k == len(parts)), SCHEMA if k == len(parts) else "doc_id long, text string, runs array<array<long>>, ids array<string>")
-    return out
+                    found = [machine.matches(normalised(t).split()) for t in b.column(at).to_pylist()]
+                    runs, ids = [r for r, _ in found], [i for _, i in found]
+                    if not first:
+                        before = zip(b.column(fields[0]).to_pylist(), b.column(fields[1]).to_pylist(), strict=True)
+                        runs, ids = zip(*((merged([*map(tuple, r0), *r]), {*i0, *i}) for (r0, i0), r, i in zip(before, runs, ids, strict=True)), strict=True)
+                        b = b.select(columns)
+                    if last:
+                        yield from finish(b, runs, ids)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(i) for i in ids], pa.list_(pa.string()))], [*columns, *fields])
+
+        return run
+
+    parts = chunks(benchmark, key=key, text=text, window=window, limit_nodes=limit_nodes)
+    part, k = next(parts), 0
+    with scratch() as keep:
+        while (further := next(parts, None)) is not None:
+            held = sc.broadcast(part)
+            docs = written(docs.mapInArrow(scan(held, not k, False), between), "pass")
+            held.unpersist()
+            part, k = further, k + 1
+        if k:
+            keep(docs)
+    return docs.mapInArrow(scan(sc.broadcast(part), not k, True), schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, key: str = "item_id", text: str = "text", limit_nodes: int = 500_000) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings), spans (code points of the original)."""
+
+    def finish(b: pa.RecordBatch, runs, items) -> Iterator[pa.RecordBatch]:
+        rows = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), runs, items, strict=True)
+        yield from batches([row(*r) for r in rows], ARROW)
+
+    return _passes(texts(docs), benchmark, finish, SCHEMA, window=window, key=key, text=text, limit_nodes=limit_nodes)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, key: str = "item_id", text: str = "text", limit_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, key: str = "item_id", text: str = "text", limit_nodes: int = 500_000) -> DataFrame:
     """The documents, with all their columns, of which less than one word in `share` is hit."""
-    sc, at, schema = docs.sparkSession.sparkContext, docs.columns.index("text"), docs.schema
-    parts = [sc.broadcast(p) for p in chunks(benchmark, key=key, text=text, limit_bytes=limit_bytes)]
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(p.value, window) for p in parts]
-        for whole in stream:
-            for b in pieces(whole, "text"):
-                stay = []
-                for t in b.column(at).to_pylist():
-                    runs = merged([r for m in machines for r in matches(t, m)[0]])
-                    hit = sum(y - x for x, y in runs)
-                    stay.append(not hit or share * hit < len(normalised(t).split()))
-                yield b.filter(pa.array(stay, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    at = docs.columns.index("text")
+
+    def finish(b: pa.RecordBatch, runs, items) -> Iterator[pa.RecordBatch]:
+        hit = [sum(y - x for x, y in r) for r in runs]
+        yield b.filter(pa.array([not h or share * h < len(normalised(t).split()) for h, t in zip(hit, b.column(at).to_pylist(), strict=True)], pa.bool_()))
+
+    return _passes(docs, benchmark, finish, docs.schema, window=window, key=key, text=text, limit_nodes=limit_nodes)
 
 
 def digest(found: DataFrame) -> DataFrame:
