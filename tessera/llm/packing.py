@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, pieces, texts
-from .tokens import encoder
+from .tokens import KEPT, encoder, release
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -39,6 +39,10 @@ class Limits:
     loss: int = 2048
     pool: int = 2048
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss, self.pool) < 1:
+            raise ValueError("a sequence must have room for a token, a segment and a loss-bearing token")
+
 
 class Packer:
     """Places pieces; yields a row for each piece of each sequence that is closed."""
@@ -108,14 +112,15 @@ class Packer:
             yield from self._fill()
 
 
-def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits = Limits(), prompt: str | None = None, cache: int = KEPT) -> DataFrame:
     """Encode the whole texts, end each with end_id, and place every id in exactly one sequence.
 
     prompt: a column with the number of a text's first ids that bear no loss; all bear loss where it is null or not named.
+    cache: chunks of text that a task keeps with their ids; what it keeps is dropped at the end of a task where cache is below KEPT.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, out = encoder(vocabulary), Packer(limits, TaskContext.get().partitionId() << 40), []
+        enc, packer, out = encoder(vocabulary, cache), Packer(limits, TaskContext.get().partitionId() << 40), []
         for whole in stream:
             for batch in pieces(whole, "text"):
                 free = batch.column(2).to_pylist() if prompt else [None] * batch.num_rows
@@ -126,6 +131,8 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits =
                     yield from batches(out, ARROW)
                     out = []
         yield from batches(out + list(packer.end()), ARROW)
+        if cache < KEPT:
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(prompt).cast("long")) if prompt else texts(docs)
     return rows.mapInArrow(run, SCHEMA)

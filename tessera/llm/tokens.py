@@ -8,6 +8,9 @@ model directly; all others, and all texts of other tokenizers, go through the wh
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -28,7 +31,7 @@ def _closed(chunk: str) -> None:
 
 
 #: Chunks kept in a worker; beyond this the table starts anew.
-KEPT = 1_200_000
+KEPT = 800_000
 
 
 def _printable() -> dict[int, str]:
@@ -41,11 +44,12 @@ def _printable() -> dict[int, str]:
 class Encoder(dict):
     """encode(text) gives little-endian ids as bytes of `dtype`; the dict keeps chunks that stand after a space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.kept = kept
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
@@ -74,7 +78,7 @@ class Encoder(dict):
         """A single pre-token that does not stand after a space."""
         out = self.parts.get(piece)
         if out is None:
-            if len(self.parts) >= KEPT:
+            if len(self.parts) >= self.kept:
                 self.parts.clear()
             out = self.parts[piece] = self._model(piece)
         return out
@@ -110,7 +114,7 @@ class Encoder(dict):
             out = self._model(low) if low == chunk else self[low]
         else:
             out = self._model(" " + chunk)
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.clear()
         self[chunk] = out
         return out
@@ -133,9 +137,18 @@ class Encoder(dict):
 _kept: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for a worker process; it lives on in reused workers."""
-    if path not in _kept:
-        _kept.clear()
-        _kept[path] = Encoder(path)
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """One encoder for a worker process; it lives on in reused workers, with at most `kept` chunks."""
+    if path not in _kept or _kept[path].kept != kept:
+        release()
+        _kept[path] = Encoder(path, kept)
     return _kept[path]
+
+
+def release() -> None:
+    """Drop the worker's encoder and give its memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
