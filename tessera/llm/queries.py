@@ -6,76 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+from .common import table, vocabulary
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
-    return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
+    return substrings.digest(substrings.dedup(table(spark, sf_dir, "documents")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    return pii.digest(pii.entities(_table(spark, sf_dir, "documents")))
+    return pii.digest(pii.entities(table(spark, sf_dir, "documents")))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
-    return jaccard.join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
-    return token_files.read(token_files.write(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
-    docs = _table(spark, sf_dir, "documents")
-    return toxicity.judged(toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
-    return token_counts.suffix_sums(token_counts.histogram(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import forest
 
-    return forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pages
 
-    return pages.digest(pages.extract(_table(spark, sf_dir, "pages")))
+    return pages.digest(pages.extract(table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

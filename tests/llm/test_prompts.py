@@ -2,13 +2,13 @@
 
 from collections import Counter
 
-from tessera.llm import packing, queries
+from tessera.llm import common, packing
 
 
 def test_prompts_bear_no_loss(spark):
     docs = [(i, "one two three four five six seven eight nine ten", 8 if i % 2 else None) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string, n int").coalesce(1)
-    rows = packing.pack(df, queries._vocabulary("byte_bpe_50k.json"), limits=packing.Limits(tokens=64, segments=8, loss=16, pool=8), prompt="n").collect()
+    rows = packing.pack(df, common.vocabulary("byte_bpe_50k.json"), limits=packing.Limits(tokens=64, segments=8, loss=16, pool=8), prompt="n").collect()
     loss, bearing, placed, size = Counter(), Counter(), Counter(), {}
     for r in rows:
         loss[r["sequence_id"]] += r["loss_tokens"]

@@ -1,13 +1,15 @@
 """Contamination, personal data, toxicity, pages and the pipeline."""
 
+import functools
 import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, packing, pages, pii, toxicity
+from tessera.llm import decontam, pages, pii, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -34,13 +36,18 @@ def test_contamination_against_brute_force(spark, sf):
         want.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (32 << 20, 2000):  # one automaton, and several passes
-        got = decontam.digest(decontam.contamination(df, bench, limit_bytes=limit))
+    for limit in (500_000, 6000):  # one automaton, and several passes
+        got = decontam.digest(decontam.contamination(df, bench, limit_nodes=limit))
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     spans = decontam.contamination(df, bench).filter("doc_id = 5002").first()["spans"]
     assert [(s["start"], s["stop"]) for s in spans] == [(2, 11)]
-    kept = decontam.clean(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(not w[5] for w in want)
+    for limit in (500_000, 6000):
+        kept = decontam.clean(df, bench, limit_nodes=limit)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
+    parts = list(decontam.chunks(bench, key="item_id", text="text", window=13, limit_nodes=6000))
+    assert len(parts) > 1 and all(sum(max(1, len(w) - 12) for _, w in p) * 13 <= 6000 for p in parts)
+    cut = list(decontam.chunks(bench, key="item_id", text="text", window=13, limit_nodes=26))
+    assert max(len(w) for p in cut for _, w in p) <= 14
     assert decontam.contamination(df.filter("false"), bench).count() == 0
     assert decontam.contamination(df, bench.filter("false")).agg(F.sum("n_hit")).first()[0] == 0
 
@@ -75,6 +82,39 @@ def test_field(spark, field):
     assert pii.redacted(df, field).filter("doc_id = 3 and base = 'z'").first()["text"] == "<email>"
 
 
+def test_stretches_equal_the_whole_text(field):
+    """What find() decodes around seeds is what the whole gaps between base spans give."""
+    rng = np.random.default_rng(9)
+    parts = [t for t, _ in pii.examples(60, seed=5)] + ["lorem ipsum dolor " * 20, "\n", "mail " + "x" * 30 + "_" + "y" * 70 + " (at) host (dot) org", "at 12 dot 7 ", "+1 1.1.1.1 555-123-4567 x", "a_b-1é9 "]
+    for _ in range(60):
+        text = " ".join(parts[i] for i in rng.integers(0, len(parts), 12))
+        sure, more = pii.find(text, field)
+        want = [x for a, b in pii.gaps([(a, b) for _, a, b in sure], len(text)) for x in field.best(text, pii.tokens(text, a, b), pii.seeds_of(text, a, b))]
+        assert more == want
+        assert all(b <= x or y <= a for _, a, b in sure for _, x, y in more)
+    assert pii.find("mail " + "x" * 30 + "_" + "y" * 70 + " (at) host (dot) org", field)[1]
+    assert pii.find("+1 1.1.1.1 555-123-4567 x", field) == ([(1, 3, 10), (3, 0, 23)], [])
+
+
+def test_best_against_all_segmentations(field):
+    """The dynamic program against an enumeration of every way to choose segments and kinds."""
+    for text in ("call (555) 123-4567 or 12 34 56 78 90", "jo @ mail . com x 10.0.0.1", "card 4111 1111 1111 1111 no"):
+        toks = pii.tokens(text, 0, len(text))
+        scored = [(i, j, field.w[f].sum(axis=0)) for i, j, f in field.lattice(text, toks, False)]
+
+        @functools.cache
+        def most(at, scored=tuple((i, j, float(w.max())) for i, j, w in scored)):
+            best = 0.0
+            for i, j, w in scored:
+                if i >= at:
+                    best = max(best, w + most(j + 1))
+            return best
+
+        chosen = {(a, b): k for k, a, b in field.best(text, toks)}
+        total = sum(float(w[chosen[toks[i][1], toks[j][2]]]) for i, j, w in scored if (toks[i][1], toks[j][2]) in chosen)
+        assert total == pytest.approx(most(0))
+
+
 def test_toxicity(spark):
     clean = ["the river runs over stone", "a garden of green leaves", "rain on the harbour wall", "the class met at noon"]
     docs = [(i, f"{clean[i % 4]} number{i} " + ("you id1оt truly" if i % 5 == 0 else "you friend truly")) for i in range(400)]
@@ -113,13 +153,3 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r["text"] for r in pages.extract(df).collect()} == {"The same story."}
     bare = df.withColumn("html", F.lit("<div>n</div><p>The same story.</p>"))
     assert {r["text"] for r in pages.extract(bare).collect()} == {"n\nThe same story."}
-
-
-def test_pipeline_equals_stages(spark, sf):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    first = pipeline.STAGES[0][1](spark, docs, sf)
-    assert first.columns == docs.columns and first.count() <= docs.count()
-    rows = pipeline.run(spark, sf).collect()
-    assert rows and {*packing.ARROW.names} == {*rows[0].asDict()}
-    assert len(pipeline.STAGES) == 5
