@@ -1,6 +1,10 @@
 """A cleaning pipeline over documents: every stage reads what the stage before it wrote.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Every stage works on all rows that it is
+given and bears nulls in any column, empty and very long texts, repeated rows, columns of any other name and an empty table:
+null and empty texts score as texts without matches, are near duplicates of nothing, have no contamination and no personal
+data, and are packed as the end id alone; of rows that share a doc_id the join keeps one; a null doc_id is an id of
+its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -8,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, jaccard, packing, pii, toxicity
-from tessera.llm.common import written
-from tessera.llm.queries import _table, _vocabulary
+from tessera.llm.common import table, vocabulary, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.3 or more go."""
-    return toxicity.clean(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more is in benchmark passages go."""
-    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +36,18 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
-    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"))
+    """Sequences of 2048 tokens; workers keep little, as they live on in the next stage."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), cache=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
 
-#: Learned scores, tokens and the field's spans are beyond SQL; tests hold run() against brute force.
+#: Learned scores, tokens and the field's spans are beyond SQL; tests hold run() against the stages worked out row by row.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
