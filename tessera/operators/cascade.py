@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Checks = list[tuple[str, Column]]
@@ -58,6 +60,23 @@ POLICIES = {
 }
 
 
+def shipped(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Only the fields that are published, in their order; one that the table lacks is null."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields))
+
+
+def fetch_outcomes(df: DataFrame, checks: Checks, url: str, title: str, by: str, order: Sequence[Column], name: str = "outcome") -> DataFrame:
+    """What becomes of fetched records: the first check that fails, then 'dup_url' for a url met before, 'dup_title' for a title of the same `by` met before, else 'kept'.
+
+    Only records that got as far count as met before. Keys of both kinds are dealt by themselves; copies of one url beyond the first are settled by the first step.
+    """
+    tagged = df.withColumn(name, first_reason(checks))
+    first = F.row_number().over(W.partitionBy(url, F.col(name).isNull()).orderBy(*order)) == 1
+    tagged = tagged.withColumn(name, F.coalesce(name, F.when(~first, "dup_url")))
+    first = F.row_number().over(W.partitionBy(by, title, F.col(name).isNull()).orderBy(*order)) == 1
+    return tagged.withColumn(name, F.coalesce(name, F.when(~first, "dup_title"), F.lit("kept")))
+
+
 def gate(df: DataFrame, before: DataFrame, rules: dict[str, Column]) -> None:
     """Raise unless df has rows, fewer than before, and no row breaks a rule."""
     n, m = df.count(), before.count()

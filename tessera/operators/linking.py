@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,3 +36,19 @@ def bucketed_range_join(left: DataFrame, right: DataFrame, day_left: str, day_ri
     a = left.withColumn("_bucket", number(day_left))
     b = right.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: number(day_right) + d)))
     return a.join(b, "_bucket").filter((F.abs(F.datediff(F.col(day_left), F.col(day_right))) <= width) & condition).drop("_bucket")
+
+
+def relinked(questions: DataFrame, ident: str, ids: str, articles: DataFrame, keep: Column) -> DataFrame:
+    """The questions with their id array rewritten: ids of which `keep` holds (over the question's columns and the article's, null where there is none), in their order."""
+    other = [c for c in questions.columns if c != ids]
+    rows = questions.select(*other, F.posexplode_outer(ids).alias("pos", "id")).join(articles, "id", "left")
+    hit = F.when(F.col("id").isNotNull() & F.coalesce(keep, F.lit(False)), F.struct("pos", "id"))
+    links = rows.groupBy(ident).agg(F.transform(F.sort_array(F.array_compact(F.collect_list(hit))), lambda s: s["id"]).alias(ids))
+    return questions.drop(ids).join(links, ident)
+
+
+def resolved(resolutions: DataFrame, ident: str, settled: str, order: Sequence[Column]) -> DataFrame:
+    """One resolution for each id: a settled one before others, then the last in the order."""
+    from .ranking import keep_first
+
+    return keep_first(resolutions, [ident], [F.col(settled).desc(), *order])

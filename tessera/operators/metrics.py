@@ -80,24 +80,33 @@ def chi2_p(statistic: float) -> float:
     return math.erfc(math.sqrt(max(statistic, 0.0) / 2))
 
 
+# Coefficients of a rational approximation of erfc, good to seven digits.
+ERFC = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def chi2_tail(statistic: Column) -> Column:
+    """chi2_p as an expression, to seven digits."""
+    z = F.sqrt(F.greatest(statistic, F.lit(0.0)) / 2)
+    t = 1 / (1 + ERFC[0] * z)
+    powers = [F.lit(c) * F.pow(t, F.lit(k)) for k, c in enumerate(ERFC[1:], 1)]
+    return sum(powers[1:], powers[0]) * F.exp(-z * z)
+
+
 def bootstrap(df: DataFrame, ident: str, correct: str, rounds: int = 1000, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """Mean and 95% interval of accuracy by a Poisson bootstrap: each row gets, in each round, a weight drawn from a hash.
+    """Mean and 95% interval of accuracy over resamples of the size of each stratum; the interval's ends are sorted values by index.
 
-    No row meets another, so the work is rows times rounds with one partial aggregate for each round.
+    Every row makes one draw in each round, by a hash of its id: a number below the stratum's size, which is a hit where it is
+    below its number of correct rows, as if these came first. So rows never meet, and what is shuffled is a partial sum for each round.
     """
-    u = (F.pmod(F.xxhash64(ident, "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
-    edges, term = [], math.exp(-1)
-    total = 0.0
-    for k in range(7):
-        total += term
-        edges.append(total)
-        term /= k + 1
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    keys = ["round"] + ([stratum] if stratum else [])
-    drawn = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    by = drawn.groupBy(*keys).agg((F.sum(F.col("w") * F.col(correct).cast("int")) / F.sum("w")).alias("accuracy"))
-    group = by.groupBy(stratum) if stratum else by.groupBy()
-    return group.agg(F.avg("accuracy").alias("mean"), F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
+    by = [stratum] if stratum else []
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col(correct)).alias("_c"))
+    rows = df.select(*by, F.col(ident).cast("string").alias("_id"))
+    rows = rows.join(F.broadcast(sizes), stratum) if stratum else rows.join(F.broadcast(sizes))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "_id", "round", F.lit(str(seed))).cast("binary")), 1, 12), 16, 10).cast("long") % F.col("_n")
+    hits = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).groupBy(*by, "round").agg((F.count_if(drawn < F.col("_c")) / F.count("*")).alias("accuracy"))
+    values = F.sort_array(F.collect_list("accuracy"))  # as many as there are rounds
+    at = lambda q: F.get(F.col("values"), F.lit(min(rounds - 1, int(q * rounds))))
+    return hits.groupBy(*by).agg(F.avg("accuracy").alias("mean"), values.alias("values")).select(*by, "mean", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def platt(df: DataFrame, score: str, label: str, steps: int = 25) -> tuple[float, float]:
@@ -118,3 +127,29 @@ def platt(df: DataFrame, score: str, label: str, steps: int = 25) -> tuple[float
         if max(abs(da), abs(db)) < 1e-9:
             break
     return a, b
+
+
+def platt_folds(df: DataFrame, ident: str, score: str, label: str, folds: int = 5) -> DataFrame:
+    """Calibrated probabilities, each from a fit on the other folds; folds are dealt by the id."""
+    rows, out = df.withColumn("fold", F.pmod(F.col(ident), F.lit(folds))), None
+    for k in range(folds):
+        a, b = platt(rows.filter(F.col("fold") != k), score, label)
+        part = rows.filter(F.col("fold") == k).withColumn("probability", 1 / (1 + F.exp(-(a * F.col(score) + b))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def support_report(df: DataFrame, confidence: str, verdict: str) -> DataFrame:
+    """One line of a report for each confidence: | `high` | n | supported | partial | unsupported | share % |."""
+    g = df.groupBy(confidence).agg(F.count("*").alias("n"), *(F.count_if(F.col(verdict) == v).alias(v) for v in ("supported", "partial", "unsupported")))
+    share = F.format_string("%.1f", 100.0 * F.col("unsupported") / F.col("n"))
+    return g.select(F.format_string("| `%s` | %d | %d | %d | %d | %s%% |", F.col(confidence), "n", "supported", "partial", "unsupported", share).alias("line"))
+
+
+def support_gate(report: DataFrame, threshold: float, least: int, judged: str = "high") -> DataFrame:
+    """The report's numbers with the gate's word: 'too few', 'fail' over the threshold, 'pass', and 'not judged' for other rows."""
+    pattern = r"^\|\s*`?(\w+)`?\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*([0-9.]+)\s*%"
+    cell = lambda k: F.regexp_extract("line", pattern, k)
+    n, share = cell(2).cast("long"), cell(6).cast("double") / 100
+    gate = F.when(cell(1) != judged, "not judged").when(n < least, "too few").when(share > threshold, "fail").otherwise("pass")
+    return report.select(cell(1).alias("confidence"), n.alias("n"), *(cell(k).cast("long").alias(c) for k, c in ((3, "supported"), (4, "partial"), (5, "unsupported"))), gate.alias("gate"))

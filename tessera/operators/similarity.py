@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
-from .linking import bucketed_range_join
 from .ranking import top_k
 
 #: Bytes of query vectors that one broadcast may hold; more queries are searched in blocks of this size.
@@ -18,44 +16,64 @@ BROADCAST = 32 << 20
 
 
 def cosine_top_k(items: DataFrame, queries: DataFrame, k: int, item_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """query_id, item, similarity, rank: the k nearest items of each query, exactly.
+    """query_id, item, similarity, rank: the k nearest items of each query, exactly."""
+    found = block_top_k(items.select(F.col(item_id).alias("item"), F.col(vector).alias("vector")), queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector")), k, lambda s, q, i: s)
+    return found.withColumnRenamed("score", "similarity")
 
-    Every task keeps its own k best for each query, so what meets in the end is queries times tasks times k.
-    Queries come in blocks of a checked size; items are scanned once for each block and never leave their task.
+
+#: Scores that a task holds at once.
+CELLS = 4_000_000
+
+
+def block_top_k(items: DataFrame, queries: DataFrame, k: int, score: Callable, digits: int = 12, last_first: bool = False) -> DataFrame:
+    """query_id, item, score, rank: the k best items of each query by score(similarities, queries, items), exactly.
+
+    items has the columns item and vector, queries has query_id and vector, and both any numbers that the score takes, as arrays by
+    name; -inf excludes a pair. Scores are compared to so many digits; of equals the smaller item comes first, or the larger.
+    Every task keeps its own k best for each query, so what meets in the end is queries times tasks times k. Queries come in
+    blocks of a checked size; items are scanned once for each block, in slices that bound queries times items, and never leave their task.
     """
     spark = items.sparkSession
-    rows = queries.select(F.col(query_id).cast("long"), F.col(vector)).toLocalIterator()
+    rows = queries.select("query_id", "vector", *(c for c in queries.columns if c not in ("query_id", "vector"))).toLocalIterator()
     blocks: list[list] = [[]]
     size = 0
     for r in rows:
-        n = 8 * len(r[1] or ())
+        n = 8 * (len(r[1] or ()) + len(r))
         if size + n > BROADCAST and blocks[-1]:
             blocks.append([])
             size = 0
-        blocks[-1].append((r[0], r[1]))
+        blocks[-1].append(tuple(r))
         size += n
-    out = None
+    names = [c for c in queries.columns if c not in ("query_id", "vector")]
+    items = items.select(F.col("item").cast("long"), "vector", *(c for c in items.columns if c not in ("item", "vector")))
+    sign, out = -1 if last_first else 1, None
     for block in blocks:
-        held = spark.sparkContext.broadcast(([q for q, _ in block], _units([v for _, v in block])))
+        columns = {c: np.array([r[j + 2] for r in block]) for j, c in enumerate(names)}
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), _units([r[1] for r in block]), columns))
 
         def search(stream: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
+            ids, q, own = held.value
+            own = {"query_id": ids, **own}
             best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in stream:
-                if not b.num_rows or not len(ids):
-                    continue
-                s = np.concatenate([best_s, q @ _units(b.column(1).to_pylist()).T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))], axis=1)
-                if s.shape[1] > k:
-                    order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                best_s, best_i = s, i
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_i.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], ["query_id", "item", "similarity"])
-
-        part = items.select(F.col(item_id).cast("long"), F.col(vector)).mapInArrow(search, "query_id long, item long, similarity double")
+            for whole in stream:
+                step = max(1, CELLS // max(1, len(ids)))
+                for at in range(0, whole.num_rows if len(ids) else 0, step):
+                    b = whole.slice(at, step)
+                    item = b.column(0).to_numpy()
+                    other = {"item": item, **{c: b.column(j).to_numpy(zero_copy_only=False) for j, c in enumerate(b.schema.names) if j > 1}}
+                    s = score(q @ _units(b.column(1).to_pylist()).T, {c: v[:, None] for c, v in own.items()}, {c: v[None, :] for c, v in other.items()})
+                    s = np.concatenate([best_s, np.round(s, digits)], axis=1)
+                    i = np.concatenate([best_i, np.broadcast_to(item, (len(ids), len(item)))], axis=1)
+                    if s.shape[1] > k:
+                        order = np.lexsort((sign * i, -s), axis=1)[:, :k]
+                        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                    best_s, best_i = s, i
+            there = np.isfinite(best_s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best_s.shape)[there], pa.int64()), pa.array(best_i[there], pa.int64()), pa.array(best_s[there], pa.float64())], ["query_id", "item", "score"])
+
+        part = items.mapInArrow(search, "query_id long, item long, score double")
         out = part if out is None else out.unionByName(part)
-    return top_k(out, ["query_id"], [F.round("similarity", 12).desc(), F.col("item")], k)
+    return top_k(out, ["query_id"], [F.col("score").desc(), F.col("item").desc() if last_first else F.col("item")], k)
 
 
 def _units(rows: list) -> np.ndarray:
@@ -66,11 +84,51 @@ def _units(rows: list) -> np.ndarray:
 
 def banded_pairs(items: DataFrame, width: int, threshold: float, ident: str = "vec_id", day: str = "day", vector: str = "embedding") -> DataFrame:
     """a < b within `width` days of each other and a cosine of at least the threshold; undated items pair with nothing."""
-    unit = items.filter(F.col(day).isNotNull()).select(ident, day, vectors.unit(F.col(vector)).alias("u"))
-    left = unit.select(F.col(ident).alias("a"), F.col(day).alias("day_a"), F.col("u").alias("ua"))
-    right = unit.select(F.col(ident).alias("b"), F.col(day).alias("day_b"), F.col("u").alias("ub"))
-    close = bucketed_range_join(left, right, "day_a", "day_b", width, F.col("a") < F.col("b"))
-    return close.withColumn("similarity", vectors.dot(F.col("ua"), F.col("ub"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return _banded(items, width, threshold, None, ident, day, vector)
+
+
+def banded_top_k(items: DataFrame, width: int, threshold: float, k: int, ident: str = "vec_id", day: str = "day", vector: str = "embedding") -> DataFrame:
+    """a < b where one is among the k nearest of the other within `width` days, with a cosine of at least the threshold."""
+    near = top_k(_banded(items, width, threshold, k, ident, day, vector), ["a"], [F.col("similarity").desc(), F.col("b")], k)
+    return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def _banded(items: DataFrame, width: int, threshold: float, k: int | None, ident: str, day: str, vector: str, block: int = 2000) -> DataFrame:
+    """a, b, similarity: pairs with a < b, or with k the k nearest b of each a in each block.
+
+    Days fall into buckets of `width`, so partners lie in the same or a neighbouring bucket. A bucket and its neighbours are cut
+    into blocks of about `block` items, and every two blocks meet in one product of matrices.
+    """
+    number = F.floor(F.datediff(F.col(day).cast("date"), F.lit("1970-01-01").cast("date")) / width)
+    rows = items.filter(F.col(day).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.datediff(F.col(day).cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), F.col(vector).cast("array<float>").alias("v"), number.alias("own"))
+    near = F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("bucket")
+    # a row for each bucket that has items
+    parts = rows.select("own", near).groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
+    mine = F.pmod(F.xxhash64("id"), F.col("parts"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = rows.withColumn("bucket", F.col("own")).join(F.broadcast(parts), "bucket").select("bucket", mine.alias("x"), others.alias("y"), F.lit(0).alias("side"), "id", "day", "v")
+    right = rows.select("id", "day", "v", "own", near).join(F.broadcast(parts), "bucket").select("bucket", others.alias("x"), mine.alias("y"), F.lit(1).alias("side"), "id", "day", "v")
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, ids, days = (table.column(c).to_numpy() for c in ("side", "id", "day"))
+        u, (a, b) = _units(table.column("v").to_pylist()), (np.flatnonzero(side == s) for s in (0, 1))
+        out: list[tuple] = []
+        for at in range(0, len(a), 512):
+            part = a[at : at + 512]
+            s = np.round(u[part] @ u[b].T, 12)
+            hit = (s >= threshold) & (np.abs(days[part][:, None] - days[b]) <= width) & (ids[part][:, None] != ids[b])
+            if k is None:
+                hit &= ids[part][:, None] < ids[b]
+            elif hit.shape[1] > k:
+                first = np.lexsort((np.broadcast_to(ids[b], s.shape), -np.where(hit, s, -np.inf)), axis=1)[:, :k]
+                chosen = np.zeros_like(hit)
+                np.put_along_axis(chosen, first, True, 1)
+                hit &= chosen
+            i, j = np.nonzero(hit)
+            out.append((ids[part[i]], ids[b[j]], s[i, j]))
+        return pa.table({c: pa.array(np.concatenate([x[n] for x in out]) if out else [], t) for n, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
+
+    return left.unionByName(right).groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long, similarity double")
 
 
 def set_overlap(sets: DataFrame, others: DataFrame, left_id: str, right_id: str, elements: str) -> DataFrame:
@@ -90,7 +148,7 @@ def mmr(cands: DataFrame, by: str, ident: str, score: str, vector: str, k: int,
         x = _units(table.column(vector).to_pylist())
         left, chosen, near = list(np.lexsort((ids, -s))), [], np.zeros(len(ids))
         while left and len(chosen) < k:
-            gains = [trade * s[i] - (1 - trade) * near[i] for i in left]
+            gains = [round(trade * s[i] - (1 - trade) * near[i], 9) for i in left]
             i = left.pop(int(np.argmax(gains)))
             near = np.maximum(near, x @ x[i]) if chosen else x @ x[i]
             chosen.append(i)
