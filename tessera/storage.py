@@ -32,7 +32,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a writer holds a block
     if (made := _made.get()) is not None:
         made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
