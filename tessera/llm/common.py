@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +19,9 @@ from ..storage import scratch, shared_dir, written
 # workers live on between stages: freed buffers go back to the system at once
 pa.set_memory_pool(pa.system_memory_pool())
 
-__all__ = ["batches", "ids", "partitions", "pick", "pieces", "runs_of", "scratch", "shared_dir", "table", "texts", "vocabulary", "written"]
+__all__ = ["batches", "ids", "narrow", "partitions", "pick", "pieces", "runs_of", "scratch", "shared_dir", "table", "texts", "trimmed", "vocabulary", "written"]
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 NONE = -(1 << 63)  # stands for a null doc_id
 FEW = 1_000_000  # ids (8 MB) up to which a broadcast picks documents; beyond, a shuffled join does
 
@@ -25,6 +31,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over a stream of batches whose worker gives back what it has freed when a task ends, as workers live on between stages."""
+
+    @functools.wraps(run)
+    def out(stream):
+        yield from run(stream)
+        give_back()
+
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,8 +60,15 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def narrow(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, which hold ten thousand rows however long their texts, unless the session's owner has."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that operators read; other columns never clash."""
+    narrow(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import batches, pieces, scratch, texts, written
+from .common import batches, narrow, pieces, scratch, texts, trimmed, written
 
 #: ASCII other than letters and digits parts words; A-Z are lower-cased; all else belongs to words.
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -109,6 +109,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, finish, schema, *, window: in
     """finish(batch, runs, items) for all documents, with the hits of all parts; one pass for each part."""
     if limit_nodes < window:
         raise ValueError("an automaton must have room for a window")
+    narrow(docs.sparkSession)
     sc, columns, at = docs.sparkSession.sparkContext, docs.columns, docs.columns.index("text")
     fields = [f"hits_{k}" for k in range(len(columns) + 2) if f"hits_{k}" not in columns][:2]
     between = StructType([*docs.schema.fields, StructField(fields[0], ArrayType(ArrayType(LongType()))), StructField(fields[1], ArrayType(StringType()))])
@@ -129,7 +130,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, finish, schema, *, window: in
                     else:
                         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(i) for i in ids], pa.list_(pa.string()))], [*columns, *fields])
 
-        return run
+        return trimmed(run)
 
     parts = chunks(benchmark, key=key, text=text, window=window, limit_nodes=limit_nodes)
     part, k = next(parts), 0

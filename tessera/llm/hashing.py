@@ -27,15 +27,18 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            for k, r in enumerate((_R, _R_INV)):
-                x = np.full(size, r, np.uint64)
-                x[0] = 1
-                _powers[k] = np.cumprod(x)
-    return _powers[0][:n], _powers[1][:n]
+    """R**i and R**-i for i < n; tables of up to a million entries are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    found = []
+    with np.errstate(over="ignore"):
+        for r in (_R, _R_INV):
+            x = np.full(1 << (n - 1).bit_length(), r, np.uint64)
+            x[0] = 1
+            found.append(np.cumprod(x))
+    if len(found[0]) <= 1 << 20:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def words(text: str | None, lower: bool) -> list[bytes]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import buckets, hashing
-from .common import FEW, NONE, ids, partitions, pick, pieces, runs_of, scratch, texts, written
+from .common import FEW, NONE, ids, partitions, pick, pieces, runs_of, scratch, texts, trimmed, written
 
 #: A shingle of this many documents is frequent; so many of the most frequent are told apart, 8 bytes each.
 FREQUENT, TOLD_APART = 16, 1_000_000
@@ -46,7 +46,7 @@ ROUNDS = 2
 #: Sets told apart by a task, so that it deals equal ones once; then it starts anew.
 SEEN = 200_000
 #: Bytes of text that are hashed at once.
-BATCH = 2 << 20
+BATCH = 256 << 10
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def _scan(docs: DataFrame, sim: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary()), *(pa.array(c, pa.int64()) for c in (ids(b), np.diff(at), *_sums(tokens, at)))], schema=schema)
         yield from dealt()
 
-    return docs.mapInArrow(run, "bucket long, runs binary, doc_id long, n long, s1 long, s2 long")
+    return docs.mapInArrow(trimmed(run), "bucket long, runs binary, doc_id long, n long, s1 long, s2 long")
 
 
 def _frequent(dealt: DataFrame) -> np.ndarray:
@@ -249,7 +249,7 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
             out += met(order, group[many], doc[many], n[many], before[many])
         return pa.Table.from_batches(out, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("runs", pa.binary())]))
 
-    return docs.mapInArrow(deal, "kind int, bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "kind int, bucket long, runs binary")
+    return docs.mapInArrow(trimmed(deal), "kind int, bucket long, runs binary").groupBy("bucket").applyInArrow(pair, "kind int, bucket long, runs binary")
 
 
 def _spread(found: DataFrame, kind: int, columns: str) -> DataFrame:
@@ -261,7 +261,7 @@ def _spread(found: DataFrame, kind: int, columns: str) -> DataFrame:
             for blob in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.unpack(blob, *["<i8"] * len(names))], names)
 
-    return found.filter(F.col("kind") == kind).select("runs").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.filter(F.col("kind") == kind).select("runs").mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
 
 
 def _merge(n_cells: int, a: np.ndarray, b: np.ndarray, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long, linked boolean")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
@@ -314,7 +314,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
                 tokens, at = hashing.sets(b.column("text").to_pylist(), sim.k, lower=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([tokens[x:y].astype("<u8").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "tokens"])
 
-    return pick(docs, wanted, "left_semi").mapInArrow(run, "doc_id long, tokens binary")
+    return pick(docs, wanted, "left_semi").mapInArrow(trimmed(run), "doc_id long, tokens binary")
 
 
 def join(docs: DataFrame, sim: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pieces, texts
+from .common import batches, pieces, texts, trimmed
 from .tokens import KEPT, encoder, release
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -135,4 +135,4 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, limits: Limits =
             release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(prompt).cast("long")) if prompt else texts(docs)
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(trimmed(run), SCHEMA)

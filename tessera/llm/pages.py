@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pieces, scratch, written
+from .common import batches, narrow, pieces, scratch, written
 
 # Fixed values of HTML: elements without content, with raw content, and those that end a paragraph or part text into blocks.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -289,6 +289,7 @@ def _judged(own: Iterable[tuple[int, bool]], anywhere: Iterable[int]) -> Templat
 def extract(table: DataFrame, *, limit: int = 500_000) -> DataFrame:
     """page_id, url, text: the main text of every page. `limit`: templates up to which they are broadcast, after a count."""
     spark = table.sparkSession
+    narrow(spark)
     pages = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
     with scratch() as keep:
         found = keep(written(templates(pages), "templates"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pieces, texts
+from .common import batches, narrow, pieces, texts, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 14
@@ -327,12 +327,13 @@ def entities(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     rows.append({"doc_id": doc_id, "base": struct(sure), "added": struct(more)})
                 yield from batches(rows, ARROW)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(trimmed(run), SCHEMA)
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all other columns stay as they are."""
     held = docs.sparkSession.sparkContext.broadcast(field or trained())
+    narrow(docs.sparkSession)
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +352,7 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     out.append(text)
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, b.column(at).type), *b.columns[at + 1 :]], schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

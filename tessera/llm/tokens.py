@@ -8,15 +8,14 @@ model directly; all others, and all texts of other tokenizers, go through the wh
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import json
 import os
 import re
 
 import numpy as np
 
+from .common import give_back
+
 #: Letters and punctuation on which the library and Python agree; the apostrophe starts contractions.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -31,7 +30,7 @@ def _closed(chunk: str) -> None:
 
 
 #: Chunks kept in a worker; beyond this the table starts anew.
-KEPT = 800_000
+KEPT = 1_200_000
 
 
 def _printable() -> dict[int, str]:
@@ -149,6 +148,4 @@ def release() -> None:
     """Drop the worker's encoder and give its memory back to the system."""
     if _kept:
         _kept.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, pieces, scratch, texts, written
+from .common import batches, narrow, pieces, scratch, texts, trimmed, written
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -145,7 +145,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_term
 
     n_pos, n_neg = (int(x or 0) for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     least = max(2, math.ceil(0.004 * n_pos))
-    found = rows.filter("y = 1").select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).collect()
+    found = rows.filter("y = 1").select("text").mapInArrow(trimmed(count), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).collect()
     pos = {r["term"]: r["n"] for r in found}
     if not pos:
         return Model({}, tuple(exceptions))
@@ -158,7 +158,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_term
                 ids = [[i for x in terms(folded(t)) if (i := wanted.value.get(x)) is not None] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
 
-    marked = written(rows.select("y", "text").mapInArrow(present, "y int, ids array<int>"), "toxic-terms")
+    marked = written(rows.select("y", "text").mapInArrow(trimmed(present), "y int, ids array<int>"), "toxic-terms")
     neg = dict(marked.filter("y = 0").select(F.explode("ids").alias("i")).groupBy("i").count().collect())  # at most `candidates` rows
     odds = {i: math.log((pos[t] + 0.5) / (n_pos + 1)) - math.log((neg.get(i, 0) + 0.5) / (n_neg + 1)) for i, t in enumerate(order)}
     good = {i for i, w in odds.items() if w > 1.5 and neg.get(i, 0) <= 0.2 * pos[order[i]]}
@@ -211,7 +211,7 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
                     found += [(x, y) for x in sorted(out)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["phrase", "y"])
 
-    clean = rows.select("y", "text").mapInArrow(around, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(1000)
+    clean = rows.select("y", "text").mapInArrow(trimmed(around), "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(1000)
     model = Model(model.weights, (*model.exceptions, *sorted(r["phrase"] for r in clean.collect())))
 
     def measure(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
                 x = [model.features(folded(t), machine) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64())], ["y", "a", "b"])
 
-    seen = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(measure, "y int, a double, b double").collect()])  # at most max_rows rows
+    seen = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(trimmed(measure), "y int, a double, b double").collect()])  # at most max_rows rows
     seen = seen[np.lexsort(seen.T)]
     x, y = np.column_stack([np.ones(len(seen)), seen[:, 1:]]), seen[:, 0]
     w, penalty = np.zeros(3), np.array([1e-3, 0.05, 0.05])
@@ -252,11 +252,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     rows.append({"doc_id": doc_id, "score": m.score(m.features(words, machine) if n else (0.0, 0.0)), "n_matches": n})
                 yield from batches(rows, schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, n_matches long")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, score double, n_matches long")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents, with all their columns, whose score is below the threshold."""
+    narrow(docs.sparkSession)
     held, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             for b in pieces(whole, "text"):
                 yield b.filter(pa.array([m.score(m.features(folded(t), machine)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def judged(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
