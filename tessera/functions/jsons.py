@@ -82,5 +82,20 @@ def argmax(weights: Column, hypotheses: Column) -> Column:
 
 def fitted(items: Column, size: int) -> Column:
     """Trimmed, non-empty, cut or padded to `size` elements."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.concat(kept, F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.lit("indicator "), i.cast("string")))), 1, size)
+
+
+def claims(content: Column) -> Column:
+    """Texts and numbers of the answer's list of claims, or else of facts, trimmed, without empty ones."""
+    body = unfenced(content)
+    lists = [F.from_json(F.get_json_object(body, f"$.{k}"), "array<string>") for k in ("claims", "facts")]
+    given = F.coalesce(F.when(F.size(lists[0]) > 0, lists[0]), lists[1], F.array().cast("array<string>"))
+    return F.filter(F.transform(given, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("{") & ~x.startswith("["))
+
+
+def scattered(content: Column, key: str, value: str, size: int, default: float) -> Column:
+    """An array of `size` numbers from the answer's list of {id, value}: ids count from 1, those out of range are left out, the last of several stays, values are clipped to [0, 1]."""
+    entries = F.from_json(F.get_json_object(unfenced(content), f"$.{key}"), f"array<struct<id:int,{value}:double>>")
+    own = lambda i: F.try_element_at(F.filter(entries, lambda e: e["id"] == i), F.lit(-1))[value]
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.least(F.greatest(own(i), F.lit(0.0)), F.lit(1.0)), F.lit(default)))

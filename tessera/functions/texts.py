@@ -92,24 +92,32 @@ def signature(detail: Column, width: int = 160) -> Column:
 
 def quality(text: Column, *, chars: int = 400, words: int = 50, sentences: int = 3, sentence_words: float = 4.0, diversity: float = 0.15, menu: float = 0.6) -> Column:
     """The first check that an extracted text fails, or 'ok'."""
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    n, ends = F.size(w), F.regexp_count(text, F.lit("[.!?]"))
-    distinct = F.size(F.array_distinct(F.transform(w, F.lower)))
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: F.size(F.split(x, r"\s+")) <= 2))
-    head = F.lower(F.substring(text, 1, 1000))
-    out = F.when(text.isNull() | (text == ""), "empty").when(F.length(text) < chars, "too_short")
-    for phrase, tag in BLOCKERS:
-        out = out.when(head.contains(phrase), f"blocker:{tag}")
-    return (
-        out.when(n < words, "too_few_words")
-        .when(distinct / n < diversity, "low_diversity")
-        .when(ends < sentences, "too_few_sentences")
-        .when(n / F.greatest(ends, F.lit(1)) < sentence_words, "avg_sentence_too_short")
-        .when((F.size(lines) > 0) & (short / F.size(lines) > menu), "nav_dump")
-        .otherwise("ok")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    # a struct in an array that a lambda takes apart, so that each measure is worked out once and not in every branch
+    measures = F.struct(
+        F.regexp_count(text, F.lit(r"\S+")).alias("n"),
+        F.regexp_count(text, F.lit("[.!?]")).alias("ends"),
+        F.size(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))).alias("distinct"),
+        F.size(lines).alias("lines"),
+        F.size(F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(r"\S\s+\S+\s+\S")))).alias("short"),
+        F.lower(F.substring(text, 1, 1000)).alias("head"),
     )
 
+    def judge(m: Column) -> Column:
+        out = F.when(text.isNull() | (text == ""), "empty").when(F.length(text) < chars, "too_short")
+        for phrase, tag in BLOCKERS:
+            out = out.when(m["head"].contains(phrase), f"blocker:{tag}")
+        return (
+            out.when(m["n"] < words, "too_few_words")
+            .when(m["distinct"] / m["n"] < diversity, "low_diversity")
+            .when(m["ends"] < sentences, "too_few_sentences")
+            .when(m["n"] / F.greatest(m["ends"], F.lit(1)) < sentence_words, "avg_sentence_too_short")
+            .when((m["lines"] > 0) & (m["short"] / m["lines"] > menu), "nav_dump")
+            .otherwise("ok")
+        )
+
+    return F.transform(F.array(measures), lambda m: judge(m))[0]
+
 
 def evidence(position: Column, date: Column, source: Column, title: Column, body: Column, chars: int = 900) -> Column:
     """A numbered heading and the text's beginning."""
@@ -119,3 +127,30 @@ def evidence(position: Column, date: Column, source: Column, title: Column, body
 def n_tokens(text: Column) -> Column:
     """An estimate: a token is four characters."""
     return F.floor(F.length(text) / 4)
+
+
+def query_key(*parts: Column) -> Column:
+    """A stable name for a query: the MD5 of its parts, one to a line; a missing part is empty."""
+    return F.md5(F.concat_ws("\n", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"))
+
+
+def actor_query(names: Column, actors: Column, question: Column, width: int = 120) -> Column:
+    """Two quoted names, or else two actors' codes, or else the question's beginning."""
+    one = lambda a, i: F.try_element_at(a, F.lit(i))
+    named = F.when((F.coalesce(one(names, 1), F.lit("")) != "") & (F.coalesce(one(names, 2), F.lit("")) != ""), F.format_string('"%s" "%s"', one(names, 1), one(names, 2)))
+    return F.coalesce(named, F.when(F.size(actors) >= 2, F.concat_ws(" ", one(actors, 1), one(actors, 2))), F.substring(F.coalesce(question, F.lit("")), 1, width))
+
+
+def prior_sentence(benchmark: Column, prior: Column, stability: Column, events: Column, lookback: Column) -> Column:
+    """What is expected if nothing changes, in the words of the question's benchmark; '' without a prior."""
+    share = F.floor(stability * 100)
+    out = F.when(benchmark == "events", F.format_string("Over the past %d days the actors' usual class was '%s' (%d%% of %d events).", lookback, prior, share, events))
+    out = out.when(benchmark == "company", F.format_string("In recent quarters the company mostly reported '%s' (%d%% of %d quarters).", prior, share, events))
+    out = out.when(benchmark == "market", F.format_string("The crowd's majority answer was '%s' (strength %.2f).", prior, stability))
+    return F.when(F.coalesce(prior, F.lit("")) == "", "").otherwise(out.otherwise(F.format_string("The expectation is '%s'.", prior)))
+
+
+def confidence_weight(raw: Column) -> Column:
+    """A weight from a word, or from a number clamped to [0, 1]; 0.5 for anything else."""
+    number = raw.try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))).when(raw == "high", 0.9).when(raw == "medium", 0.6).when(raw == "low", 0.3).otherwise(0.5)

@@ -32,6 +32,12 @@ def hostname(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(authority(url), r"^.*@", ""), r":\d*$", "")
 
 
+def host_or_word(url: Column) -> Column:
+    """The host; '(no-host)' where there is none, '(parse-fail)' where a bracket of an address is not closed."""
+    broken = F.contains(authority(url), F.lit("[")) != F.contains(authority(url), F.lit("]"))
+    return F.when(broken, "(parse-fail)").when(F.coalesce(hostname(url), F.lit("")) == "", "(no-host)").otherwise(hostname(url))
+
+
 def domain(url: Column) -> Column:
     """The authority with every 'www.' taken out, port kept."""
     return F.replace(authority(url), F.lit("www."), F.lit(""))

@@ -30,12 +30,15 @@ def pair(a: Column, b: Column) -> Column:
     return F.array_sort(F.array(a, b))
 
 
-def bucketed_range_join(left: DataFrame, right: DataFrame, day_left: str, day_right: str, width: int, condition: Column) -> DataFrame:
-    """Rows within `width` days of each other: the right side is repeated for its and the neighbouring buckets, an equi-join meets them."""
-    number = lambda c: F.floor(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) / width)
-    a = left.withColumn("_bucket", number(day_left))
-    b = right.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: number(day_right) + d)))
-    return a.join(b, "_bucket").filter((F.abs(F.datediff(F.col(day_left), F.col(day_right))) <= width) & condition).drop("_bucket")
+def mentions(articles: DataFrame, entities: DataFrame, article: str, text: str, entity: str, context: Sequence[str]) -> DataFrame:
+    """Articles by entities (name in lower case, ticker) that they mention, each pair once: by the name anywhere, or by the ticker as a word where a word of the context is there too.
+
+    Tickers are met by the words of a text and an equi-join; names by a broadcast of the entities, a dimension of which the caller knows the size.
+    """
+    a, b = [c for c in articles.columns if c != text], [c for c in entities.columns if c not in ("name", "ticker")]
+    named = articles.join(F.broadcast(entities), F.contains(F.lower(text), F.col("name"))).select(*a, *b)
+    words = articles.filter(F.lower(text).rlike("|".join(context))).withColumn("ticker", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z]+\b"), F.lit(0)))))
+    return named.unionByName(words.join(entities, "ticker").select(*a, *b)).dropDuplicates([article, entity])
 
 
 def relinked(questions: DataFrame, ident: str, ids: str, articles: DataFrame, keep: Column) -> DataFrame:

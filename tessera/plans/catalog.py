@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asking, audits, curation, evaluation, landing, linking, shaping, similarity
+from . import asking, audits, curation, evaluation, landing, linking, shaping, similarity, wording
 from .registry import ORACLES, QUERIES, Query
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["asking", "audits", "curation", "evaluation", "landing", "linking", "shaping", "similarity", "oracle_sql", "queries"]
+__all__ = ["asking", "audits", "curation", "evaluation", "landing", "linking", "shaping", "similarity", "wording", "oracle_sql", "queries"]

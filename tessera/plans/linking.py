@@ -10,28 +10,16 @@ from ..operators import linking, ranking
 from .registry import query, table
 
 
-@query("""SELECT o_orderkey, event_id, rank FROM (SELECT o_orderkey, event_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY e.ts DESC, event_id) AS rank
- FROM (SELECT o_orderkey, o_custkey % 150 AS user_id, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS cutoff FROM orders WHERE o_orderstatus = 'P') o
- JOIN events e ON e.user_id = o.user_id AND CAST(e.ts AS DATE) BETWEEN cutoff - 7 AND cutoff) WHERE rank <= 5""")
+@query("""WITH o AS (SELECT DISTINCT o_custkey % 150 AS key, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS cutoff FROM orders), h AS (SELECT key, cutoff, event_id, row_number() OVER (PARTITION BY key, cutoff ORDER BY e.ts DESC, event_id) AS rank FROM o JOIN events e ON e.user_id = key AND CAST(e.ts AS DATE) BETWEEN cutoff - 7 AND cutoff QUALIFY rank <= 5)
+ SELECT o_orderkey, event_id, rank FROM orders JOIN h ON key = o_custkey % 150 AND cutoff = DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT)""")
 def interval_topk_join(spark, sf_dir):
-    """The latest evidence with the question's key in its closed interval."""
-    return _latest(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"))
-
-
-def _latest(spark, sf_dir, orders):
-    """Orders with one key and cutoff share their evidence, which is ranked once."""
-    o = orders.select("o_orderkey", (F.col("o_custkey") % 150).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("cutoff"))
+    """The latest evidence with the question's key in its closed interval; questions with one key and cutoff share it, and it is ranked once."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("cutoff"))
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
     hit = linking.interval_top_k(o.select("key", "cutoff").distinct(), e, F.col("key") == F.col("user_id"), "day", F.date_sub("cutoff", 7), F.col("cutoff"), ["key", "cutoff"], [F.desc("ts"), F.col("event_id")], 5)
     return o.join(hit.select("key", "cutoff", "event_id", "rank"), ["key", "cutoff"]).select("o_orderkey", "event_id", "rank")
 
 
-@query()
-def interval_topk_all(spark, sf_dir):
-    """The latest evidence of every order, whatever its status."""
-    return _latest(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
 _PAIRS = """p AS (SELECT event_id, event_type, ts, CAST(ts AS DATE) AS day, least(user_id % 12, (event_id * 7) % 12) AS a, greatest(user_id % 12, (event_id * 7) % 12) AS b FROM events)"""
 
 
@@ -123,24 +111,6 @@ def docids_two_hop(spark, sf_dir):
     return named.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), "|").alias("names"))
 
 
-@query("""SELECT n_nationkey, p_partkey FROM nation JOIN part ON contains(p_name, lower(substr(n_name, 1, 3))) WHERE p_size BETWEEN 5 AND 9""")
-def text_contains_join(spark, sf_dir):
-    """Names of a small dimension looked up in texts, with a range condition; the dimension has fixed size."""
-    return _contained(spark, sf_dir, table(spark, sf_dir, "part").filter("p_size between 5 and 9"))
-
-
-@query()
-def text_contains_all(spark, sf_dir):
-    """The same names looked up in the texts of all parts."""
-    return _contained(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
-def _contained(spark, sf_dir, parts):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("needle"))
-    p = parts.select("p_partkey", "p_name")
-    return p.join(F.broadcast(n), F.contains("p_name", "needle")).select("n_nationkey", "p_partkey")
-
-
 @query("""SELECT w AS pattern, doc_id, rank FROM (SELECT w, doc_id, row_number() OVER (PARTITION BY w ORDER BY n_chars DESC, doc_id) AS rank FROM documents, (SELECT unnest(['thing', 'ch', 'eau', 'ción']) AS w) WHERE regexp_matches(text, w)) WHERE rank <= 20""")
 def parameter_array_join(spark, sf_dir):
     """An array of patterns, each with its cap of rows, in one scan."""
@@ -167,13 +137,6 @@ def json_props(spark, sf_dir):
     return e.select("event_id", "k", F.concat_ws(":", "event_type", (F.col("k") % 3).cast("string")).alias("entity"))
 
 
-@query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS name, count(*) AS n FROM events GROUP BY ALL""")
-def entity_counts_json(spark, sf_dir):
-    """Names within nested records, exploded and counted."""
-    e = table(spark, sf_dir, "events").select(F.explode(F.array(F.struct(F.col("event_type").alias("type"), (F.get_json_object("props", "$.k").try_cast("long") % 5).alias("name")))).alias("e"))
-    return e.groupBy(F.col("e.type").alias("event_type"), F.col("e.name").alias("name")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT user_id, row_number() OVER (ORDER BY ts0, i0) AS dense_id FROM (SELECT user_id, min(ts) AS ts0, arg_min(event_id, (ts, event_id)) AS i0 FROM events GROUP BY 1)""")
 def dense_first_ids(spark, sf_dir):
     """Ids by first appearance."""
@@ -232,20 +195,6 @@ def plurality_vote(spark, sf_dir):
     return ranking.plurality(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["view", "click", "purchase"])
 
 
-_PICKS = """r AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '{"prediction": "Yes"}' WHEN 1 THEN '{"answer": {"class": "no."}}' WHEN 2 THEN '{"choice": ["material conflict"]}' WHEN 3 THEN '{"label": "Most likely: Material Conflict"}' WHEN 4 THEN '{"x": 1}' ELSE 'text' END AS content FROM conversations)"""
-
-
-@query(f"""WITH {_PICKS} SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN 'Material Conflict' WHEN 3 THEN 'Material Conflict' END AS pick FROM r""")
-def parse_pick(spark, sf_dir):
-    """Choices from answers in several shapes; what names no hypothesis stays null."""
-    from ..functions import jsons
-
-    shapes = ('{"prediction": "Yes"}', '{"answer": {"class": "no."}}', '{"choice": ["material conflict"]}', '{"label": "Most likely: Material Conflict"}', '{"x": 1}', "text")
-    c = table(spark, sf_dir, "conversations").withColumn("content", F.element_at(F.array(*map(F.lit, shapes)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")))
-    hypotheses = F.array(*map(F.lit, ("Yes", "No", "Material Conflict", "Verbal Conflict")))
-    return c.select("conv_id", "turn", jsons.pick(F.col("content"), hypotheses).alias("pick"))
-
-
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 400) || ' fact[' || doc_id || '] 2026-01-02 deadbeef01', 'fact\\[\\d+\\]', 'fact[N]', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b', '<DATE>', 'g'), '\\b[0-9a-f]{8,}\\b', '<HASH>', 'g'), '\\b\\d+\\b', '<N>', 'g')[-60:] AS signature FROM documents WHERE n_chars < 100 AND lang = 'en'""")
 def error_signature(spark, sf_dir):
     """Messages with their variable parts taken out."""
@@ -260,9 +209,10 @@ def error_signature_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(texts.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT page_id, s AS slice, DATE '2026-01-01' + CAST(floor(10 * s / 3) AS INT) AS first, DATE '2026-01-01' + CAST(floor(10 * (s + 1) / 3) AS INT) AS last FROM pages, (SELECT unnest([0, 1, 2]) AS s)""")
+@query("""WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 40 AS n, greatest(1, least(3, o_orderkey % 40)) AS k FROM orders)
+ SELECT o_orderkey, s AS slice, d + CAST(floor(n * s / k) AS INT) AS first, d + CAST(floor(n * (s + 1) / k) AS INT) AS last FROM q, (SELECT unnest([0, 1, 2]) AS s) WHERE s < k""")
 def time_slices(spark, sf_dir):
-    """A look-back span in three slices."""
-    s = dates.slices(F.lit("2026-01-01").cast("date"), F.lit("2026-01-11").cast("date"), 3)
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(s).alias("slice", "s")).select("page_id", "slice", "s.first", "s.last")
-
+    """A look-back span in three slices, or as many as it has days."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    s = dates.slices(F.col("d"), F.date_add("d", (F.col("o_orderkey") % 40).cast("int")), 3)
+    return o.select("o_orderkey", F.posexplode(s).alias("slice", "s")).select("o_orderkey", "slice", "s.first", "s.last")
