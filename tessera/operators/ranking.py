@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key: the first in the order."""
@@ -37,19 +39,25 @@ def plurality(df: DataFrame, by: Sequence[str], pick: str, hypotheses: Sequence[
     return counts.groupBy(*by).agg(F.min_by(pick, F.struct(-F.col("_c"), place)).alias("choice"), F.sum("_c").alias("votes"))
 
 
+def _counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """A row for each group and value, with how many rows have it and how many of the group's have a smaller one: no group is ever sorted row by row."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    below = F.sum("_c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    return counts.withColumn("_below", F.coalesce(below, F.lit(0)))
+
+
 def gini(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Of non-negative values; 0 for an empty sum."""
-    w = W.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("_i", F.row_number().over(w))
-    n, total = F.count("*"), F.sum(value)
-    return ranked.groupBy(*by).agg(F.when(total == 0, 0.0).otherwise(2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n).alias("gini"))
+    v, c = F.col(value), F.col("_c")
+    n, total = F.sum(c), F.sum(v * c)
+    weighed = F.sum(v * (c * F.col("_below") + c * (c + 1) / 2))  # the sum of rank times value
+    return _counted(df, by, value).groupBy(*by).agg(F.when(total == 0, 0.0).otherwise(2 * weighed / (n * total) - (n + 1) / n).alias("gini"))
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """The value at position floor(q n) of the sorted group."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_i") == F.floor(F.col("_n") * q)).select(*by, F.col(value).alias(name))
+    rows = _counted(df, by, value).withColumn("_at", F.floor(F.sum("_c").over(W.partitionBy(*by)) * q))
+    return rows.filter((F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_below") + F.col("_c"))).select(*by, F.col(value).alias(name))
 
 
 def bucket(value: Column, edges: Sequence[float]) -> Column:
@@ -61,9 +69,18 @@ def bucket(value: Column, edges: Sequence[float]) -> Column:
 
 
 def first_seen_ids(df: DataFrame, value: str, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
-    """value and a dense id by first appearance. Ids run over distinct values; the order is global by its nature."""
+    """value and a dense id by first appearance.
+
+    Values are dealt to ranges of their first appearance and numbered within them; the ranges' offsets, a row for each, are added.
+    """
     first = df.groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(value, (F.row_number().over(W.orderBy("_first", value)) - 1 + start).alias(name))
+    sorted_ = first.repartitionByRange("_first", value).sortWithinPartitions("_first", value)
+    rows = written(sorted_.select(value, F.monotonically_increasing_id().alias("_n")), "numbered")
+    part = F.shiftright("_n", 33)  # the upper bits are the range, the lower ones the place in it
+    sizes = rows.groupBy(part.alias("_range")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), part == F.col("_range")).select(value, (F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1) + start).alias(name))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], ident: str, quota: int, seed: str = "") -> DataFrame:

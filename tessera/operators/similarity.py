@@ -139,6 +139,24 @@ def set_overlap(sets: DataFrame, others: DataFrame, left_id: str, right_id: str,
     return shared.select("left", "right", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("jaccard"))
 
 
+def set_join(sets: DataFrame, ident: str, elements: str, num: int, den: int) -> DataFrame:
+    """a < b, jaccard for pairs of sets with a similarity of num / den or more.
+
+    Elements are ordered by how many sets have them, rare ones first; similar sets share one among the first n - ceil(t n) + 1, so
+    only these are joined, and whole sets are compared for the pairs that are found. Equal sets should be one row.
+    """
+    rows = sets.select(F.col(ident).alias("id"), F.array_distinct(elements).alias("e")).filter(F.size("e") > 0)
+    often = rows.select(F.explode("e").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
+    each = rows.select("id", F.size("e").alias("n"), F.explode("e").alias("x")).join(often, "x")
+    ranked = each.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
+    prefix = ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)).alias("p")).select("id", "n", "p.x")
+    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "x").join(prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "x"), "x")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)).select("a", "b").distinct()
+    both = pairs.join(rows.withColumnsRenamed({"id": "a", "e": "ea"}), "a").join(rows.withColumnsRenamed({"id": "b", "e": "eb"}), "b")
+    shared = F.size(F.array_intersect("ea", "eb"))
+    return both.select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("jaccard")).filter(F.col("jaccard") * den >= num)
+
+
 def mmr(cands: DataFrame, by: str, ident: str, score: str, vector: str, k: int, trade: float = 0.7) -> DataFrame:
     """Greedy re-ranking by relevance less similarity to what is chosen; candidates of a query are its bounded top list."""
 

@@ -72,14 +72,18 @@ def first_fail_filter(spark, sf_dir):
     return d.select("doc_id", cascade.first_reason(checks, "kept").alias("reason"))
 
 
-@query("""SELECT 'art_' || substr(sha1(substr(text, 1, 40)), 1, 12) AS id, arg_max(text, (length(text), -doc_id)) AS text, arg_max(n_chars, (length(text), -doc_id)) AS n_chars,
- arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS n_records FROM documents GROUP BY 1""")
+_KEYED = "SELECT page_id, html, 'art_' || substr(sha1(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*(.*)$', 1), '[?#].*$', ''), '/+$', '')), 1, 12) AS id, split_part(url, ':', 1) AS source, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'l' || page_id % 4 END AS lang FROM pages"
+
+
+@query(f"""SELECT id, md5(arg_max(html, (length(html), -page_id))) AS text, arg_max(page_id, (length(html), -page_id)) AS longest, coalesce(arg_min(lang, page_id) FILTER (lang <> ''), '') AS lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS n_records FROM ({_KEYED}) GROUP BY 1""")
 def dedup_merge(spark, sf_dir):
-    """Records with one id become one: longest text, first language, union of sources."""
-    return _merged(table(spark, sf_dir, "documents").withColumn("id", urls.article_id(F.substring("text", 1, 40))))
+    """Pages of one address become one: the longest text, the first language there is, the union of sources."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html", urls.article_id(urls.key(F.col("url"))).alias("id"), F.split("url", ":")[0].alias("source"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("l"), F.col("page_id") % 4)).alias("lang"))
+    m = merging.dedup_merge(p.withColumn("sources", F.array("source")).withColumn("longest", F.col("page_id")), "id", "page_id", "html", ["longest"], ["lang"], ["sources"])
+    return m.select("id", F.md5(F.col("html").cast("binary")).alias("text"), "longest", "lang", F.array_join("sources", ",").alias("provenance"), "n_records")
 
 
-@query()
+@query("""SELECT 'art_' || sha256(text) AS id, text, arg_max(n_chars, (length(text), -doc_id)) AS n_chars, arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS provenance, count(*) AS n_records FROM documents GROUP BY text""")
 def dedup_merge_whole(spark, sf_dir):
     """Records with one text become one; the id is the whole text's SHA-256."""
     return _merged(table(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit("art_"), F.sha2(F.col("text").cast("binary"), 256))))
@@ -97,14 +101,15 @@ def exact_dup_excess(spark, sf_dir):
     return g.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess"))
 
 
-@query("""SELECT lower(trim(substr(text, 1, 30))) AS title, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2""")
+@query("""SELECT lower(trim(p_name)) AS title, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 2""")
 def title_collisions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.lower(F.trim(F.substring("text", 1, 30))).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
+    """Titles that several records have."""
+    return table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query()
+@query("""SELECT lower(trim(text)) AS title, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2""")
 def text_collisions(spark, sf_dir):
-    """Whole texts that occur twice or more, but for case and outer spaces."""
+    """Whole texts that several records have, whatever their case."""
     return table(spark, sf_dir, "documents").groupBy(F.lower(F.trim("text")).alias("title")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 

@@ -195,16 +195,8 @@ def plurality_vote(spark, sf_dir):
     return ranking.plurality(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["view", "click", "purchase"])
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 400) || ' fact[' || doc_id || '] 2026-01-02 deadbeef01', 'fact\\[\\d+\\]', 'fact[N]', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b', '<DATE>', 'g'), '\\b[0-9a-f]{8,}\\b', '<HASH>', 'g'), '\\b\\d+\\b', '<N>', 'g')[-60:] AS signature FROM documents WHERE n_chars < 100 AND lang = 'en'""")
+@query("""SELECT substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'fact\\[\\d+\\]', 'fact[N]', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b', '<DATE>', 'g'), '\\b[0-9a-f]{8,}\\b', '<HASH>', 'g'), '\\b\\d+\\b', '<N>', 'g'), 1, 160) AS signature, count(*) AS n FROM documents GROUP BY 1""")
 def error_signature(spark, sf_dir):
-    """Messages with their variable parts taken out."""
-    d = table(spark, sf_dir, "documents").filter("n_chars < 100 and lang = 'en'")
-    detail = F.concat(F.substring("text", 1, 400), F.lit(" fact["), F.col("doc_id").cast("string"), F.lit("] 2026-01-02 deadbeef01"))
-    return d.select("doc_id", F.right(texts.signature(detail, 10_000), F.lit(60)).alias("signature"))
-
-
-@query()
-def error_signature_counts(spark, sf_dir):
     """How often each signature occurs; every text is normalised whole, and the signature is its first 160 characters then."""
     return table(spark, sf_dir, "documents").groupBy(texts.signature(F.col("text")).alias("signature")).agg(F.count("*").alias("n"))
 

@@ -369,3 +369,21 @@ def set_intersections(spark, sf_dir):
     w = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"))
     j = w.join(w.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("w").alias("v")), "p_partkey")
     return j.select("p_partkey", F.array_join(F.array_sort(F.array_intersect("w", "v")), " ").alias("shared"), F.arrays_overlap("w", "v").alias("overlap"), F.round(texts.jaccard(F.col("w"), F.col("v")), 6).alias("title_overlap"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count_if(CAST(l_shipdate AS DATE) > CAST(o_orderdate AS DATE) + 90) AS late, count(DISTINCT l_suppkey % 10) AS domains, sum(l_quantity) AS mass, any_value(o_orderstatus) AS st FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+ SELECT l_orderkey, CASE WHEN n < 3 THEN 'links' WHEN late > 0.2 * n THEN 'horizon' WHEN domains < 2 THEN 'domains' WHEN mass < 60 THEN 'mass' WHEN st = 'P' THEN 'open' ELSE 'selected' END AS outcome FROM g""")
+def gold_tolerance(spark, sf_dir):
+    """An ordered selection in which up to a fifth of a question's articles may be late."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.date_add(F.col("o_orderdate").cast("date"), 90).alias("t"))
+    l = table(spark, sf_dir, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    g = l.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_shipdate").cast("date") > F.col("t")).alias("late"), F.count_distinct(F.col("l_suppkey") % 10).alias("domains"), F.sum("l_quantity").alias("mass"), F.first("o_orderstatus").alias("st"))
+    checks = [("links", F.col("n") < 3), ("horizon", F.col("late") > 0.2 * F.col("n")), ("domains", F.col("domains") < 2), ("mass", F.col("mass") < 60), ("open", F.col("st") == "P")]
+    return g.select("l_orderkey", cascade.first_reason(checks, "selected").alias("outcome"))
+
+
+@query("""SELECT lang, count(*) AS requests, sum(n_chars // 4) AS tokens, round(sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6, 8) AS cost, round((sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6) / 2, 8) AS batch_cost FROM documents GROUP BY 1""")
+def cost_estimate(spark, sf_dir):
+    """What asking about every text would cost, by prices a million tokens; in batches half of it."""
+    cost = F.sum(F.floor(F.col("n_chars") / 4)) * 0.15 / 1e6 + F.count("*") * 300 * 0.6 / 1e6
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("requests"), F.sum(F.floor(F.col("n_chars") / 4)).alias("tokens"), F.round(cost, 8).alias("cost"), F.round(cost / 2, 8).alias("batch_cost"))

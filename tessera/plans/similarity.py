@@ -119,11 +119,11 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i:
 _WORDS = "list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_-]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9-]+') AND length(x) > 2 AND x NOT IN ('will', 'the', 'a', 'of', 'to', 'in', 'on', 'for', 'at', 'by', 'an', 'from', 'and', 'or', 'when', 'with', 'which', 'be', 'is', 'are', 'was', 'were', 'have', 'has', 'had', 'that', 'this'))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'en')), b AS (SELECT item_id, unnest({_GRAMS}) AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))
+@query(f"""WITH d AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), b AS (SELECT item_id, unnest({_GRAMS}) AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))
  SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY ALL HAVING count(*) >= 5""")
 def bigram_overlap_join(spark, sf_dir):
-    """Documents and passages with five common bigrams of content words."""
-    return _bigram_overlap(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "benchmark"))
+    """Documents of every language and passages with five common bigrams of content words."""
+    return _bigram_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _bigram_overlap(documents, items):
@@ -132,22 +132,15 @@ def _bigram_overlap(documents, items):
     return similarity.set_overlap(d, b, "doc_id", "item_id", "g").filter("shared >= 5").select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"), "shared")
 
 
-@query()
-def bigram_overlap_all(spark, sf_dir):
-    """Documents of every language and passages with five common bigrams of content words."""
-    return _bigram_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-@query("""WITH s AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 3), lambda i: substr(lower(p_name), i, 5))) AS g, p_brand FROM part),
- e AS (SELECT p_partkey, p_brand, len(g) AS n, unnest(g) AS x FROM s), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey GROUP BY ALL)
- SELECT a, b, round(c / (n + m - c), 6) AS jaccard FROM j WHERE c / (n + m - c) >= 0.6""")
+@query("""WITH s AS (SELECT p_name AS name, list_distinct(list_transform(range(1, length(p_name) - 3), lambda i: substr(lower(p_name), i, 5))) AS g, count(*) AS copies FROM part GROUP BY p_name),
+ j AS (SELECT a.name AS a, b.name AS b, a.copies * b.copies AS pairs, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM s a JOIN s b ON a.name < b.name)
+ SELECT a, b, round(c / (n - c), 6) AS jaccard, pairs FROM j WHERE c / (n - c) >= 0.4""")
 def char_shingle_jaccard(spark, sf_dir):
-    """Near-equal names within a block, by runs of five characters."""
-    s = table(spark, sf_dir, "part").select("p_partkey", "p_brand", texts.shingles(F.col("p_name")).alias("g"))
-    e = s.select("p_partkey", "p_brand", F.size("g").alias("n"), F.explode("g").alias("x"))
-    a, b = e.select(F.col("p_partkey").alias("a"), "p_brand", F.col("n"), "x"), e.select(F.col("p_partkey").alias("b"), "p_brand", F.col("n").alias("m"), "x")
-    j = a.join(b, ["p_brand", "x"]).filter("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).withColumn("jaccard", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
-    return j.filter("jaccard >= 0.6").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Different names that are nearly equal, by runs of five characters, and how many pairs of parts they stand for."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("copies")).withColumn("g", texts.shingles(F.col("name")))
+    j, n = similarity.set_join(names, "name", "g", 40, 100), names.select("name", "copies")
+    j = j.join(n.withColumnsRenamed({"name": "a", "copies": "ca"}), "a").join(n.withColumnsRenamed({"name": "b", "copies": "cb"}), "b")
+    return j.select("a", "b", F.round("jaccard", 6).alias("jaccard"), (F.col("ca") * F.col("cb")).alias("pairs"))
 
 
 @query(f"""WITH c AS (SELECT q.vec_id AS query_id, i.vec_id AS item, {_DOT} AS s FROM embeddings q JOIN embeddings i ON i.vec_id <> q.vec_id AND q.vec_id % 100 = 0),
@@ -162,12 +155,29 @@ def time_decay_topk(spark, sf_dir):
     return similarity.block_top_k(e.withColumnRenamed("vec_id", "item"), e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5, decayed, digits=6).select("query_id", "item", "rank")
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT q.vec_id AS q, i.vec_id AS i, i.embedding AS e, round({_DOT}, 12) AS s FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) <= 20),
+def _greedy(score: str) -> str:
+    """Re-ranking of the twenty best by a score to eight, in SQL."""
+    return f"""WITH RECURSIVE c AS (SELECT q.vec_id AS q, i.vec_id AS i, i.embedding AS e, {score} AS s FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) <= 20),
  n AS (SELECT q.q AS q, q.i AS a, i.i AS b, {_DOT.replace("embedding", "e")} AS near FROM t q JOIN t i ON q.q = i.q),
  r AS (SELECT q, 1 AS place, i AS item, [i] AS chosen FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) = 1
   UNION ALL SELECT q, place + 1, pick, list_append(chosen, pick) FROM (SELECT r.q, r.place, r.chosen, arg_max(x.i, (round(0.7 * x.s - 0.3 * x.near, 9), x.s, -x.i)) AS pick
    FROM r JOIN (SELECT r.q, t.i, any_value(t.s) AS s, max(n.near) AS near FROM r JOIN t ON t.q = r.q AND NOT list_contains(r.chosen, t.i) JOIN n ON n.q = t.q AND n.a = t.i AND list_contains(r.chosen, n.b) GROUP BY ALL) x ON x.q = r.q WHERE r.place < 8 GROUP BY ALL))
- SELECT q AS query_id, item, place FROM r""")
+ SELECT q AS query_id, item, place FROM r"""
+
+
+@query(_greedy(f"round((0.6 * {_DOT} + 0.4 * CASE WHEN i.vec_id % 7 = q.vec_id % 7 THEN 1 ELSE 0 END) * exp(-0.01 * abs(q.vec_id - i.vec_id) / 10.0), 9)"))
+def hybrid_search(spark, sf_dir):
+    """Similarity and shared terms in one score that decays in time, then re-ranked for variety."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+    def hybrid(s, q, i):
+        return (0.6 * s + 0.4 * (i["item"] % 7 == q["query_id"] % 7)) * np.exp(-0.01 * np.abs(q["query_id"] - i["item"]) / 10.0)
+
+    top = similarity.block_top_k(e.withColumnRenamed("vec_id", "item"), e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20, hybrid, digits=9)
+    return similarity.mmr(top.join(e.withColumnRenamed("vec_id", "item"), "item"), "query_id", "item", "score", "vector", 8)
+
+
+@query(_greedy(f"round({_DOT}, 12)"))
 def mmr_rerank(spark, sf_dir):
     """Twenty nearest of each query, re-ranked to eight by relevance less likeness to what is chosen."""
     e = table(spark, sf_dir, "embeddings")
