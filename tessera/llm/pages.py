@@ -269,12 +269,13 @@ def templates(pages: DataFrame, *, least: int = 8, share: float = 0.02, inside:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*n), (pa.string(), pa.int64(), pa.int64()), strict=True)] if n else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["host", "page", "code"])
 
     found = pages.select("host", "html").mapInArrow(run, "host string, page long, code long").distinct()
-    by_host = written(found.groupBy("host", "code").agg(F.count("*").alias("n")), "subtrees")
-    total = by_host.filter("code is null").select("host", F.col("n").alias("pages"))
     kind = F.col("code").bitwiseAND(3)
-    often = by_host.filter((kind == SHAPE) | (F.col("n") >= least)).join(total, "host")
+    by_host = found.groupBy("host", "code").agg(F.count("*").alias("n")).filter(F.col("code").isNull() | (kind == SHAPE) | (F.col("n") >= least))
+    by_host = written(by_host, "subtrees")
+    total = by_host.filter("code is null").select("host", F.col("n").alias("pages"))
+    often = by_host.filter("code is not null").join(total, "host")
     at = F.when(kind == INSIDE, inside).otherwise(share) * F.col("pages")
-    own = often.filter((F.col("n") >= least) & F.col("code").isNotNull()).select("host", "code", (F.col("n") >= at).alias("deleted"))
+    own = often.filter(F.col("n") >= least).select("host", "code", (F.col("n") >= at).alias("deleted"))
     # a page belongs to one host, so the counts of hosts add up
     anywhere = often.filter(kind == SHAPE).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(F.lit(None).cast("string").alias("host"), "code", F.lit(True).alias("deleted"))
     return own.filter((F.col("code").bitwiseAND(3) == SHAPE) | F.col("deleted")).unionByName(anywhere)
