@@ -1,7 +1,7 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised benchmark texts.
 
 Every run of `window` consecutive words of an item is a pattern of the automaton (an item with fewer words is
-one pattern); its letters are numbers of words. A document is normalised once, the automaton scans it once, and matches are kept as
+one pattern), with two letters for each word. A document is normalised once, the automaton scans it once, and matches are kept as
 word positions, which map to offsets of the original text. The automaton's size is checked first: up to
 `limit_nodes` the benchmark is one automaton; a larger one is dealt in parts of that many nodes, each broadcast and scanned in
 a pass of its own over the texts. A pass writes its hits beside the texts for the next, so no worker holds two automata.
@@ -14,6 +14,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -34,31 +35,40 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE)
 
 
+#: Characters of a word: a node has few children then, and finding one of them takes time by their number.
+DIGITS = 2
+OTHER = "\0" * DIGITS  # a word of no item; no pattern begins or goes on with it
+
+
+def _letters(number: int) -> str:
+    """The characters of a word's number; the first can't be taken for the second, so patterns only meet whole words."""
+    return chr(0x100 + (number >> 8)) + chr(number & 0xFF)
+
+
 class Machine:
-    """Patterns are tuples of word numbers; a pattern's value: its words and items."""
+    """Patterns are the letters of their words, one after another; a pattern's value: its words and items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], tuple[int, set]] = {}
+        self.letters: dict[bytes, str] = {}
+        found: dict[str, set] = {}
         for item, words in items:
-            line = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            for i in range(max(1, len(line) - window + 1) if line else 0):
-                part = tuple(line[i : i + window])
-                found.setdefault(part, (len(part), set()))[1].add(item)
+            line = "".join([self.letters.setdefault(w, _letters(len(self.letters))) for w in words])
+            for i in range(0, max(1, len(line) - DIGITS * window + 1) if line else 0, DIGITS):
+                found.setdefault(line[i : i + DIGITS * window], set()).add(item)
         self.automaton = None
         if found:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for pattern, (n, ids) in found.items():
-                self.automaton.add_word(pattern, (n, sorted(ids)))
+            self.automaton = ahocorasick.Automaton()
+            for pattern, ids in found.items():
+                self.automaton.add_word(pattern, (len(pattern) // DIGITS, sorted(ids)))
             self.automaton.make_automaton()
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit runs of words (first, past the last), merged, and the items."""
-        line = tuple(self.numbers.get(w, 0) for w in words) if self.automaton else ()
-        if not any(line):
+        if not self.automaton:
             return [], set()
         runs, ids = [], set()
-        for last, (n, items) in self.automaton.iter(line):
+        for end, (n, items) in self.automaton.iter("".join(map(self.letters.get, words, repeat(OTHER)))):
+            last = end // DIGITS
             runs.append((last + 1 - n, last + 1))
             ids.update(items)
         return merged(runs), ids
@@ -90,7 +100,7 @@ def row(doc_id: int | None, text: str | None, runs: list[tuple[int, int]], items
 
 def chunks(benchmark: DataFrame, *, key: str, text: str, window: int, limit_nodes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark's words by item, in parts whose automata have at most limit_nodes nodes; a longer item is cut between its windows."""
-    part, free, most = [], limit_nodes // window, limit_nodes // window  # in windows
+    part, free, most = [], limit_nodes // (DIGITS * window), limit_nodes // (DIGITS * window)  # in windows
     for r in benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("string").alias("t")).toLocalIterator():
         words, at = normalised(r["t"]).split(), 0
         n = max(1, len(words) - window + 1) if words else 0
@@ -107,7 +117,7 @@ def chunks(benchmark: DataFrame, *, key: str, text: str, window: int, limit_node
 
 def _passes(docs: DataFrame, benchmark: DataFrame, finish, schema, *, window: int, key: str, text: str, limit_nodes: int) -> DataFrame:
     """finish(batch, runs, items) for all documents, with the hits of all parts; one pass for each part."""
-    if limit_nodes < window:
+    if limit_nodes < DIGITS * window:
         raise ValueError("an automaton must have room for a window")
     narrow(docs.sparkSession)
     sc, columns, at = docs.sparkSession.sparkContext, docs.columns, docs.columns.index("text")

@@ -45,8 +45,8 @@ def test_contamination_against_brute_force(spark, sf):
         kept = decontam.clean(df, bench, limit_nodes=limit)
         assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
     parts = list(decontam.chunks(bench, key="item_id", text="text", window=13, limit_nodes=6000))
-    assert len(parts) > 1 and all(sum(max(1, len(w) - 12) for _, w in p) * 13 <= 6000 for p in parts)
-    cut = list(decontam.chunks(bench, key="item_id", text="text", window=13, limit_nodes=26))
+    assert len(parts) > 1 and all(sum(max(1, len(w) - 12) for _, w in p) * 26 <= 6000 for p in parts)
+    cut = list(decontam.chunks(bench, key="item_id", text="text", window=13, limit_nodes=52))
     assert max(len(w) for p in cut for _, w in p) <= 14
     assert decontam.contamination(df.filter("false"), bench).count() == 0
     assert decontam.contamination(df, bench.filter("false")).agg(F.sum("n_hit")).first()[0] == 0
