@@ -112,7 +112,7 @@ def platt_calibrated(spark, sf_dir):
 
 
 @query(f"""WITH x AS (SELECT x.*, n_chars // 4 AS tokens FROM ({_GT}) x JOIN documents USING (doc_id)), y AS (SELECT lang, source, count(*) AS n, avg(CASE WHEN gt = pred THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN gt = (doc_id * 11) % 2 THEN 1.0 ELSE 0 END) AS b, avg(CASE WHEN pred = (doc_id * 11) % 2 THEN 1.0 ELSE 0 END) AS agree, sum(tokens) AS t, sum(CASE WHEN doc_id % 2 = 0 THEN tokens // 2 ELSE tokens END) AS u FROM x GROUP BY ALL)
- SELECT lang, source, n, round(a - b, 5) AS accuracy_delta, round(agree, 5) AS agreement, t - u AS token_delta FROM y""")
+ SELECT lang, source, n, round(a - b, 5) AS accuracy_delta, round(agree, 5) AS agreement, CAST(t - u AS BIGINT) AS token_delta FROM y""")
 def head_to_head_tokens(spark, sf_dir):
     """Two systems by two keys: the difference of their accuracies, their agreement, and what one needs more in tokens."""
     x = _predictions(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("tokens")), "doc_id").withColumn("other", (F.col("doc_id") * 11) % 2)

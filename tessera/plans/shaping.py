@@ -113,7 +113,7 @@ def ordered_articles(spark, sf_dir):
     return linking.collected(rows.withColumn("shown", day), ["o_orderkey"], "pos", "shown", "days").select("o_orderkey", F.array_join("days", ",").alias("days"))
 
 
-@query("SELECT c_custkey, c_nationkey, NULL AS missing FROM customer")
+@query("SELECT c_custkey, c_nationkey, CAST(NULL AS VARCHAR) AS missing FROM customer")
 def shipped_fields(spark, sf_dir):
     """Only fields on the list leave, in its order; one that a record lacks is null."""
     return cascade.shipped(table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey", "missing"])
@@ -318,7 +318,7 @@ def entity_counts(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT user_id, sum(CASE event_type WHEN 'view' THEN 0.5 WHEN 'click' THEN 1.0 ELSE 0 END) AS verbal, sum(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 ELSE 0 END) AS material FROM events GROUP BY 1)
- SELECT user_id, verbal, material, CASE WHEN material > verbal THEN 'Material' ELSE 'Verbal' END AS side FROM s""")
+ SELECT user_id, CAST(verbal AS DOUBLE) AS verbal, CAST(material AS DOUBLE) AS material, CASE WHEN material > verbal THEN 'Material' ELSE 'Verbal' END AS side FROM s""")
 def score_sums(spark, sf_dir):
     """Two conditional sums and the larger side; of equals the verbal one."""
     kind = F.col("event_type")
@@ -382,7 +382,7 @@ def gold_tolerance(spark, sf_dir):
     return g.select("l_orderkey", cascade.first_reason(checks, "selected").alias("outcome"))
 
 
-@query("""SELECT lang, count(*) AS requests, sum(n_chars // 4) AS tokens, round(sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6, 8) AS cost, round((sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6) / 2, 8) AS batch_cost FROM documents GROUP BY 1""")
+@query("""SELECT lang, count(*) AS requests, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, round(sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6, 8) AS cost, round((sum(n_chars // 4) * 0.15 / 1e6 + count(*) * 300 * 0.6 / 1e6) / 2, 8) AS batch_cost FROM documents GROUP BY 1""")
 def cost_estimate(spark, sf_dir):
     """What asking about every text would cost, by prices a million tokens; in batches half of it."""
     cost = F.sum(F.floor(F.col("n_chars") / 4)) * 0.15 / 1e6 + F.count("*") * 300 * 0.6 / 1e6
