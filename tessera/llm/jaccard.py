@@ -153,6 +153,7 @@ def _frequent(dealt: DataFrame) -> np.ndarray:
 
 
 KINDS = ("<i8", "<u4", "<u4")  # of a prefix shingle: its document, the set's size, how many shingles stand before it
+SETTLED = np.uint32(1 << 31)  # in a set's size: the shingle's other rows of the task have met this one
 #: What a row of the candidates holds: pairs with counts by order, members of groups, counts of grouped shingles by order, shingles.
 PAIRS, MEMBERS, OPEN, DEALT = range(4)
 
@@ -207,6 +208,7 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
                 # the pivot goes on as a member of the group that the bucket sees, so it is one there only
                 rest = many & (lead != np.arange(len(key)))
                 yield from met(k, key[rest].astype("<i8"), *(c[rest] for c in columns))
+                columns[1] = np.where(many, columns[1] | SETTLED, columns[1])
                 key, columns = key[~rest], [c[~rest] for c in columns]
             for x in dealers[k].packed(key, columns):
                 yield packed(DEALT, [(k * n_buckets + x.column(0)[0].as_py(), x.column(1)[0].as_py())])
@@ -235,7 +237,10 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
         if blobs:
             parts = [(np.cumsum(step, dtype=np.uint64), *columns) for step, *columns in (buckets.unpack(x, "<u4", *KINDS) for x in blobs)]
             tokens, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+            settled, columns[1] = columns[1] >= SETTLED, columns[1] & (SETTLED - np.uint32(1))
             by, new, many = pivots(tokens, columns, SMALL)
+            # a group of which a task has settled a part is a large one, however few of it are here
+            many |= np.repeat(np.logical_or.reduceat(settled[by], new), np.diff(np.r_[new, len(tokens)]))
             tokens, (doc, n, before) = tokens[by], [c[by] for c in columns]
             order = key[0].as_py() // n_buckets
             a, b = [], []
