@@ -176,11 +176,14 @@ def _candidates(docs: DataFrame, sim: Similarity, frequent) -> DataFrame:
     def met(order: int, group: np.ndarray, doc: np.ndarray, n: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Members of large groups: in the first order they are kept; their shingles count as open in every order."""
         if len(group):
-            place = int(doc[0]) % n_buckets
             if not order:
+                place = int(doc[0]) % n_buckets
                 yield packed(MEMBERS, [(place, buckets.pack(group.astype("<i8"), doc.astype("<i8"), n.astype("<i8"), before.astype("<i8")))])
-            own, size = np.unique(doc, return_counts=True)
-            yield packed(OPEN, [(place, buckets.pack(own.astype("<i8"), np.full(len(own), order, "<i8"), size.astype("<i8")))])
+            own, size = np.unique(doc.astype("<i8"), return_counts=True)
+            dealer = buckets.Dealer(n_cells)
+            dealer.add(hashing.mix(own.view(np.uint64), 1), own, *(size.astype("<i8") * int(k == order) for k in range(orders)))
+            for x in dealer.rows():
+                yield packed(OPEN, list(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)))
 
     def pivots(key: np.ndarray, columns: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order by key, then by the share of what stands before, then by document; where keys begin; which rows are of large groups.
@@ -280,15 +283,16 @@ def _merge(n_cells: int, a: np.ndarray, b: np.ndarray, counts: list[np.ndarray])
         yield from dealer.rows()
 
 
-def _shared(found: DataFrame, orders: int) -> DataFrame:
-    """a, b, s0, s1 and so on: how many shingles the pair was seen to share among its prefixes, by order."""
-    names = ["a", "b", *(f"s{k}" for k in range(orders))]
+def _summed(found: DataFrame, kind: int, keys: list[str], counts: list[str]) -> DataFrame:
+    """The counts of a kind, summed where they are packed: one row for each key, however many buckets have counted it."""
+    names = [*keys, *counts]
 
-    def total(_, a, b, *counts) -> Iterator[pa.RecordBatch]:
-        order, edge = runs_of(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[order][edge], b[order][edge], *(np.add.reduceat(n[order], edge) for n in counts))], names)
+    def total(_, *columns) -> Iterator[pa.RecordBatch]:
+        own, counted = columns[: len(keys)], columns[len(keys) :]
+        order, edge = runs_of(*own)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*(c[order][edge] for c in own), *(np.add.reduceat(n[order], edge) for n in counted))], names)
 
-    return buckets.groups(found.filter(F.col("kind") == PAIRS).select("bucket", "runs"), ("<i8",) * len(names), total, ", ".join(f"{c} long" for c in names))
+    return buckets.groups(found.filter(F.col("kind") == kind).select("bucket", "runs"), ("<i8",) * len(names), total, ", ".join(f"{c} long" for c in names))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -342,7 +346,7 @@ def _classes(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame, Da
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(scanned.filter("bucket is not null").select("bucket", "runs")))
     found = written(_candidates(docs, sim, frequent), "candidates")
     # how many prefix shingles of a document are, by order, in groups whose pairs were not all counted
-    open_ = _spread(found, OPEN, "doc_id, k, n").groupBy("doc_id").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"o{k}") for k in orders))
+    open_ = _summed(found, OPEN, ["doc_id"], [f"o{k}" for k in orders])
     known = written(nodes.join(open_, "doc_id", "left").na.fill(0, [f"o{k}" for k in orders]), "known")
 
     def represented(t: DataFrame, column: str) -> DataFrame:
@@ -365,7 +369,8 @@ def _classes(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame, Da
     def ordered(t: DataFrame) -> DataFrame:
         return t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    pairs = represented(represented(_shared(found, sim.orders), "a"), "b").filter(passes([F.col(f"s{k}") for k in orders]))
+    # a, b, s0, s1 and so on: how many shingles the pair was seen to share among its prefixes, by order
+    pairs = represented(represented(_summed(found, PAIRS, ["a", "b"], [f"s{k}" for k in orders]), "a"), "b").filter(passes([F.col(f"s{k}") for k in orders]))
     pairs = written(ordered(pairs), "pairs")
     members = represented(_spread(found, MEMBERS, "group, a, n, before").drop("n"), "a")
     members = members.groupBy("group", "a").agg(*(F.max(c).alias(c) for c in ("n_a", "before", *(f"o{k}_a" for k in orders))))

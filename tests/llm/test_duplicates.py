@@ -109,6 +109,26 @@ def test_near_copies_without_their_source(spark, hot):
     assert tested.count() <= 8 * len(docs)
 
 
+def test_open_shingles_are_one_row_a_document(spark, monkeypatch):
+    """How many shingles of a document are in large groups is summed in packed form, whatever the number of buckets that counted."""
+    made = {}
+
+    def counted(real):
+        def run(found, kind, *rest):
+            out = real(found, kind, *rest)
+            made[kind] = out.count()
+            return out
+
+        return run
+
+    for name in {"_spread", "_summed"} & set(vars(jaccard)):
+        monkeypatch.setattr(jaccard, name, counted(getattr(jaccard, name)))
+    docs = [(d, " ".join(f"d{d}" if i == d % 90 else f"c{i}" for i in range(90))) for d in range(150)]
+    member, _ = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in member.collect()} == brute_classes(docs)
+    assert 0 < made[jaccard.OPEN] <= len(docs)
+
+
 def test_long_texts_and_ties_of_similarity(spark):
     """Texts of 20,000 words, and pairs at a similarity of exactly three quarters and just below."""
     long = [f"l{i % 9973}z{i}" for i in range(20_000)]
