@@ -196,7 +196,9 @@ def daily_mentions_filter(spark, sf_dir):
     """Rows whose composite key of user, type and day sums to a minimum."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     mass = e.groupBy("user_id", "event_type", "day").agg(F.sum("value").alias("mass")).filter("mass >= 100")
-    return e.join(mass, ["user_id", "event_type", "day"]).select("event_id", F.round("mass", 4).alias("mass"))
+    keys = ("user_id", "event_type", "day")
+    same = [e[k].eqNullSafe(mass[k]) for k in keys]  # a null is a key of its own, as in a window
+    return e.join(mass, same).select(e["event_id"], F.round("mass", 4).alias("mass"))
 
 
 @query("""SELECT event_id, user_id, event_type FROM (SELECT *, min(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type) AS d0 FROM events) WHERE CAST(ts AS DATE) = d0""")

@@ -65,3 +65,11 @@ def test_every_order_gets_evidence(spark, sf):
         want |= {(r["o_orderkey"], e[1], k) for k, e in enumerate(hit[:5], 1)}
     got = [tuple(r) for r in catalog.queries()["interval_topk_join"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_mentions_of_null_keys_are_summed(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    events = [(1, None, "a", day, 60.0), (2, None, "a", day, 40.0), (3, 7, None, day, 120.0), (4, 7, "a", None, 130.0), (5, 7, "a", day, 99.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["daily_mentions_filter"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 100.0), (2, 100.0), (3, 120.0), (4, 130.0)]
