@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,19 @@ PICK_KEYS = ("prediction", "pick", "answer", "label", "predicted_class", "class"
 INNER_KEYS = ("class", "value", "label", "name", "text")
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once: an expression that f names several times, or in a lambda of its own, is else worked out each time."""
+    return F.transform(F.array(x), f)[0]
+
+
+def field(body: Column, path: str) -> Column:
+    """get_json_object of $.path, without a parse (and its exception) where the path's first name can't be in the body; escapes may spell any name."""
+    return F.when(F.contains(body, F.lit(path.split(".")[0])) | F.contains(body, F.lit("\\")), F.get_json_object(body, f"$.{path}"))
+
+
 def unfenced(content: Column) -> Column:
     """Without the lines that fence a block of code."""
-    return F.trim(F.regexp_replace(content, r"(?m)^\s*```.*$", ""))
+    return once(content, lambda c: F.trim(F.when(F.contains(c, F.lit("```")), F.regexp_replace(c, r"(?m)^\s*```.*$", "")).otherwise(c)))
 
 
 def cell_list(cell: Column) -> Column:
@@ -21,36 +33,37 @@ def cell_list(cell: Column) -> Column:
     return F.when(cell.isNull() | (F.trim(cell) == ""), F.array().cast("array<string>")).when(F.trim(cell).startswith("["), F.coalesce(parsed, F.array().cast("array<string>"))).otherwise(F.array(F.trim(cell)))
 
 
-def candidates(content: Column) -> Column:
-    """Strings that may name the choice, in order of the keys: texts, members of lists, inner keys of objects."""
-    body = unfenced(content)
-    out = []
-    for k in PICK_KEYS:
-        raw = F.get_json_object(body, f"$.{k}")
-        inner = F.coalesce(*(F.get_json_object(body, f"$.{k}.{i}") for i in INNER_KEYS))
-        out.append(F.when(raw.isNull(), F.array().cast("array<string>")).when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))).when(raw.startswith("{"), F.array_compact(F.array(inner))).otherwise(F.array(raw)))
-    return F.concat(*out, F.array_compact(F.array(F.get_json_object(body, "$.reasoning"))))
-
-
 def match(raw: Column, hypotheses: Column) -> Column:
     """A hypothesis that a string names: exactly, in any case, without spaces, as the only prefix, or as the only longest part."""
-    s = F.regexp_replace(F.trim(raw), "^[\"'.,;:!?()\\[\\]{}*`]+|[\"'.,;:!?()\\[\\]{}*`]+$", "")
-    low = F.lower(s)
     bare = lambda h: F.replace(F.lower(h), F.lit(" "), F.lit(""))
-    exact = F.filter(hypotheses, lambda h: h == s)
-    same = F.filter(hypotheses, lambda h: F.lower(h) == low)
-    tight = F.filter(hypotheses, lambda h: bare(h) == low)
-    front = F.filter(hypotheses, lambda h: F.startswith(low, F.lower(h)) | F.startswith(low, bare(h)))
-    parts = F.filter(hypotheses, lambda h: F.contains(low, F.lower(h)))
-    longest = F.array_max(F.transform(parts, F.length))
-    top = F.filter(parts, lambda h: F.length(h) == longest)
-    one = lambda a: F.try_element_at(a, F.lit(1))
-    return F.coalesce(one(exact), F.try_element_at(same, F.lit(-1)), F.try_element_at(tight, F.lit(-1)), F.when(F.size(front) == 1, one(front)), F.when(F.size(top) == 1, one(top)))
+    at = lambda a, i: F.try_element_at(a, F.lit(i))
+    only = lambda a: once(a, lambda x: F.when(F.size(x) == 1, at(x, 1)))
+
+    def longest(parts: Column) -> Column:
+        return once(F.array_max(F.transform(parts, F.length)), lambda n: only(F.filter(parts, lambda h: F.length(h) == n)))
+
+    def loosely(low: Column) -> Column:
+        same = F.filter(hypotheses, lambda h: F.lower(h) == low)
+        tight = F.filter(hypotheses, lambda h: bare(h) == low)
+        front = F.filter(hypotheses, lambda h: F.startswith(low, F.lower(h)) | F.startswith(low, bare(h)))
+        parts = F.filter(hypotheses, lambda h: F.contains(low, F.lower(h)))
+        return F.coalesce(at(same, -1), at(tight, -1), only(front), once(parts, longest))
+
+    s = F.regexp_replace(F.trim(raw), "^[\"'.,;:!?()\\[\\]{}*`]+|[\"'.,;:!?()\\[\\]{}*`]+$", "")
+    return once(s, lambda s: F.coalesce(at(F.filter(hypotheses, lambda h: h == s), 1), once(F.lower(s), loosely)))
 
 
 def pick(content: Column, hypotheses: Column) -> Column:
-    """The first candidate that names a hypothesis; null where none does, never a default."""
-    return F.try_element_at(F.filter(F.transform(candidates(content), lambda c: match(c, hypotheses)), lambda h: h.isNotNull()), F.lit(1))
+    """The first string that names a hypothesis, in order of the keys: texts, members of lists, inner keys of objects; null where none does, never a default."""
+    first = lambda a: F.try_element_at(F.filter(F.transform(a, lambda c: match(c, hypotheses)), lambda h: h.isNotNull()), F.lit(1))
+
+    def chosen(body: Column, k: str) -> Column:
+        inner = F.coalesce(*(field(body, f"{k}.{i}") for i in INNER_KEYS))
+        named = lambda raw: F.when(raw.startswith("["), first(F.from_json(raw, "array<string>"))).otherwise(match(F.when(raw.startswith("{"), inner).otherwise(raw), hypotheses))
+        return once(field(body, k), lambda raw: F.when(raw.isNotNull(), named(raw)))
+
+    # a later key is read only where those before it name nothing
+    return once(unfenced(content), lambda body: F.coalesce(*(chosen(body, k) for k in PICK_KEYS), once(field(body, "reasoning"), lambda raw: F.when(raw.isNotNull(), match(raw, hypotheses)))))
 
 
 def probabilities(content: Column, hypotheses: Column) -> Column:

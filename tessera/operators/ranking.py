@@ -32,11 +32,12 @@ def mode_first(df: DataFrame, by: Sequence[str], value: str, order: str) -> Data
     return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("_c"), F.col("_o"))).alias("mode"), F.max("_c").alias("mode_count"), F.sum("_c").alias("n"))
 
 
-def plurality(df: DataFrame, by: Sequence[str], pick: str, hypotheses: Sequence[str]) -> DataFrame:
-    """The choice with most votes, of equals the earlier hypothesis; votes for anything else don't count."""
-    place = F.array_position(F.array(*map(F.lit, hypotheses)), F.col(pick))
-    counts = df.filter(F.col(pick).isin(*hypotheses)).groupBy(*by, pick).agg(F.count("*").alias("_c"))
-    return counts.groupBy(*by).agg(F.min_by(pick, F.struct(-F.col("_c"), place)).alias("choice"), F.sum("_c").alias("votes"))
+def plurality(df: DataFrame, by: Sequence[str], pick: str, hypotheses: Sequence[str], every: bool = False) -> DataFrame:
+    """The choice with most votes, of equals the earlier hypothesis; votes for anything else don't count. Groups without a vote are left out, or with `every` have no choice."""
+    counts = (df if every else df.filter(F.col(pick).isin(*hypotheses))).groupBy(*by).agg(*(F.count_if(F.col(pick) == h).alias(f"_v{i}") for i, h in enumerate(hypotheses)))
+    votes = F.array(*(F.col(f"_v{i}") for i in range(len(hypotheses))))
+    choice = F.when(F.array_max(votes) > 0, F.element_at(F.array(*map(F.lit, hypotheses)), F.array_position(votes, F.array_max(votes)).cast("int")))
+    return counts.select(*by, choice.alias("choice"), F.aggregate(votes, F.lit(0).cast("long"), lambda s, v: s + v).alias("votes"))
 
 
 def _counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -68,10 +68,10 @@ def predictions(requests: DataFrame, responses: DataFrame, hypotheses: Sequence[
     hs = F.array(*map(F.lit, hypotheses))
     picks = requests.join(responses, "request_id", "left").withColumn("pick", jsons.pick(F.col("content"), hs))
     if combine == "plurality":
-        chosen = plurality(picks, ["question"], "pick", hypotheses).select("question", F.col("choice").alias("predicted_class"))
+        out = plurality(picks, ["question"], "pick", hypotheses, every=True).select("question", F.col("choice").alias("predicted_class"))
     else:
         chosen = keep_first(picks.filter(F.col("pick").isNotNull()), ["question"], [F.col("request_id")]).select("question", F.col("pick").alias("predicted_class"))
-    out = requests.select("question").distinct().join(chosen, "question", "left")
+        out = requests.select("question").distinct().join(chosen, "question", "left")
     return out.withColumn("parse_failed", F.col("predicted_class").isNull())
 
 

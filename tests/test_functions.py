@@ -1,4 +1,5 @@
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,16 @@ def test_json_answers(spark):
 def test_vectors(spark):
     assert one(spark, lambda v: vectors.cosine(v, v), [0.0, 0.0], "array<float>") == 0.0
     assert abs(one(spark, lambda v: vectors.norm(vectors.unit(v)), [3.0, 4.0], "array<float>") - 1) < 1e-9
+
+
+def reads(spark, f):
+    """How often the plan of f names the column that it is given."""
+    df = spark.range(1).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("c")).repartition(1)
+    return len(re.findall(r"\bc#\d+", df.select(f(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]))
+
+
+def test_pick_reads_an_answer_once(spark):
+    hs = F.array(F.lit("Yes"), F.lit("No"))
+    assert reads(spark, lambda c: jsons.pick(c, hs)) == 1
+    odd = ['{"label": "No", "prediction": "x"}', '{"predic\\u0074ion": "Yes"}', '{"reasoning": "so Yes."}', '["prediction"]', '{"prediction": "Yes"', "{oops", None]
+    assert many(spark, lambda c: jsons.pick(c, hs), odd) == ["No", "Yes", "Yes", None, None, None, None]

@@ -14,6 +14,16 @@ def test_fan_out_pending_and_chunks(spark):
     assert requests.predictions(asked, answers.filter("false"), ["Yes", "No"], "plurality").first()["parse_failed"]
 
 
+def test_votes_are_counted_in_one_pass(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    asked = requests.build(q, requests.METHODS["ensemble"], F.lit("?"))
+    said = {"1::ensemble::r1::1": "No", "1::ensemble::r1::2": "No", "1::ensemble::r1::3": "Yes", "2::ensemble::r1::1": "No", "2::ensemble::r1::3": "Yes", "3::ensemble::r1::2": "Maybe"}
+    answers = spark.createDataFrame([(k, f'{{"prediction": "{v}"}}') for k, v in said.items()], "request_id string, content string")
+    got = requests.predictions(asked, answers, ["Yes", "No"], "plurality")
+    assert sorted(map(tuple, got.collect())) == [(1, "No", False), (2, "Yes", False), (3, None, True)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # answers to requests; the questions are not joined again
+
+
 def test_routes_fall_back(spark):
     q = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, benchmark string")
     contract = spark.createDataFrame([("x", "index"), ("y", "index")], "benchmark string, mode string")
