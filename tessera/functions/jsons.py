@@ -68,16 +68,22 @@ def pick(content: Column, hypotheses: Column) -> Column:
 
 def probabilities(content: Column, hypotheses: Column) -> Column:
     """A map over all hypotheses: from the answer's object or else its text, percentages rescaled, normalised; else uniform."""
-    body = unfenced(content)
-    given = F.coalesce(F.from_json(F.get_json_object(body, "$.probabilities"), "map<string,string>"), F.from_json(F.get_json_object(body, "$.probs"), "map<string,string>"))
-    loose = lambda h: F.call_function("regexp_extract", content, F.concat(F.lit('"'), h, F.lit('"\\s*:\\s*([0-9]*\\.?[0-9]+)')), F.lit(1))
-    values = F.transform(hypotheses, lambda h: F.coalesce(F.try_element_at(given, h).try_cast("double"), loose(h).try_cast("double")))
-    whole = ~F.exists(values, lambda v: v.isNull())
-    scaled = F.when(F.exists(values, lambda v: v > 1.5), F.transform(values, lambda v: v / 100)).otherwise(values)
-    positive = F.transform(scaled, lambda v: F.greatest(v, F.lit(0.0)))
-    total = F.aggregate(positive, F.lit(0.0), lambda s, v: s + v)
     uniform = F.transform(hypotheses, lambda h: F.lit(1.0) / F.size(hypotheses))
-    return F.map_from_arrays(hypotheses, F.when(F.coalesce(whole & (total > 0), F.lit(False)), F.transform(positive, lambda v: F.least(v / total, F.lit(1.0)))).otherwise(uniform))
+    given = lambda body: F.coalesce(*(F.from_json(field(body, k), "map<string,string>") for k in ("probabilities", "probs")))
+    loose = lambda text, h: F.call_function("regexp_extract", text, F.concat(F.lit('"'), h, F.lit('"\\s*:\\s*([0-9]*\\.?[0-9]+)')), F.lit(1))
+
+    def values(text: Column) -> Column:
+        found = lambda h: once(loose(text, h), lambda x: F.when(x != "", x.try_cast("double")))  # noqa: E731 (a cast of '' is an exception inside)
+        read = lambda m: F.transform(hypotheses, lambda h: F.coalesce(F.try_element_at(m, h).try_cast("double"), found(h)))
+        return once(once(unfenced(text), given), read)
+
+    def shares(values: Column) -> Column:
+        whole = ~F.exists(values, lambda v: v.isNull())
+        scaled = F.when(F.exists(values, lambda v: v > 1.5), F.transform(values, lambda v: v / 100)).otherwise(values)
+        normal = lambda p, total: F.when(F.coalesce(whole & (total > 0), F.lit(False)), F.transform(p, lambda v: F.least(v / total, F.lit(1.0)))).otherwise(uniform)
+        return once(F.transform(scaled, lambda v: F.greatest(v, F.lit(0.0))), lambda p: once(F.aggregate(p, F.lit(0.0), lambda s, v: s + v), lambda total: normal(p, total)))
+
+    return F.map_from_arrays(hypotheses, once(once(content, values), shares))
 
 
 def normalised(weights: Column, hypotheses: Column) -> Column:
@@ -89,8 +95,8 @@ def normalised(weights: Column, hypotheses: Column) -> Column:
 
 def argmax(weights: Column, hypotheses: Column) -> Column:
     """The hypothesis of the largest weight, the first of equals."""
-    rows = F.transform(F.sequence(F.lit(1), F.size(hypotheses)), lambda i: F.struct(F.coalesce(F.try_element_at(weights, F.try_element_at(hypotheses, i)), F.lit(0.0)).alias("p"), (-i).alias("i")))
-    return F.try_element_at(hypotheses, -F.array_max(rows)["i"])
+    rows = lambda w: F.transform(F.sequence(F.lit(1), F.size(hypotheses)), lambda i: F.struct(F.coalesce(F.try_element_at(w, F.try_element_at(hypotheses, i)), F.lit(0.0)).alias("p"), (-i).alias("i")))
+    return F.try_element_at(hypotheses, -F.array_max(once(weights, rows))["i"])
 
 
 def fitted(items: Column, size: int) -> Column:

@@ -81,3 +81,11 @@ def test_pick_reads_an_answer_once(spark):
     assert reads(spark, lambda c: jsons.pick(c, hs)) == 1
     odd = ['{"label": "No", "prediction": "x"}', '{"predic\\u0074ion": "Yes"}', '{"reasoning": "so Yes."}', '["prediction"]', '{"prediction": "Yes"', "{oops", None]
     assert many(spark, lambda c: jsons.pick(c, hs), odd) == ["No", "Yes", "Yes", None, None, None, None]
+
+
+def test_probabilities_read_an_answer_once(spark):
+    hs = F.array(F.lit("Yes"), F.lit("No"))
+    assert reads(spark, lambda c: jsons.probabilities(c, hs)) == 1
+    assert reads(spark, lambda c: jsons.argmax(F.create_map(F.lit("Yes"), F.length(c) / 2), hs)) == 1
+    odd = ['{"pro\\u0062s": {"Yes": 1, "No": 3}}', '{"probabilities": {"Yes": 1}} "No": 3', '"Yes": x, "No": 1', "probs", ""]
+    assert [p["Yes"] for p in many(spark, lambda c: jsons.probabilities(c, hs), odd)] == [0.25, 0.25, 0.5, 0.5, 0.5]
