@@ -47,7 +47,8 @@ def first(questions: DataFrame, method: Method) -> DataFrame:
 
 def following(questions: DataFrame, method: Method, r: int, asked: DataFrame, answers: DataFrame, width: int = 800) -> DataFrame:
     """Round r from the answers of the round before; a missing answer is an empty text."""
-    before = asked.join(answers, "request_id", "left").select("question", "slot", F.coalesce("content", F.lit("")).alias("content"))
+    given = asked.join(answers, "request_id", "left").select("question", "slot", "prompt", F.coalesce("content", F.lit("")).alias("content"))
+    before = given.drop("prompt")
     base = questions.select("question", "prompt")
     if method.name == "reflected":
         last = before.filter("slot <> 'critique'").select("question", F.substring("content", 1, width).alias("said"))
@@ -55,7 +56,8 @@ def following(questions: DataFrame, method: Method, r: int, asked: DataFrame, an
         critique = rows.select("question", F.lit("critique").alias("slot"), F.concat(F.lit("Criticise:\n"), "said").alias("prompt"))
         return _asked(critique.unionByName(rows.select("question", F.lit("a0").alias("slot"), F.concat("prompt", F.lit("\nBefore:\n"), "said").alias("prompt"))), method, r)
     if method.name == "branches":
-        grown = before.select("question", F.col("slot").alias("parent"), F.substring("content", 1, width).alias("said")).join(base, "question")
+        # the first round asks with the question's own prompt
+        grown = (given if r == 1 else before.join(base, "question")).select("question", F.col("slot").alias("parent"), "prompt", F.substring("content", 1, width).alias("said"))
         grown = _fan(grown, [f"a{i}" for i in range(method.samples)]).withColumn("slot", F.concat_ws(".", "parent", "slot"))
         return _asked(grown.select("question", "slot", F.concat("prompt", F.lit("\nThought:\n"), "said").alias("prompt")), method, r)
     if method.fan_out:
@@ -71,19 +73,18 @@ def following(questions: DataFrame, method: Method, r: int, asked: DataFrame, an
 
 def run(questions: DataFrame, method: Method, call: Call, hypotheses: Sequence[str]) -> DataFrame:
     """question, predicted_class, n_requests: all rounds, then the choice of the last one (of several, by plurality)."""
-    asked, answers, counts = None, None, None
+    asked, answers, sent = None, None, None
     for r in range(method.rounds):
         asked = written(first(questions, method) if asked is None else following(questions, method, r, asked, answers), "asked")
         answers = written(call(asked).select("request_id", "content"), "answers")
-        n = asked.groupBy("question").agg(F.count("*").alias("n"))
-        counts = n if counts is None else counts.unionByName(n)
-    final = asked.filter("slot <> 'critique'").join(answers, "request_id", "left")
-    picks = final.withColumn("pick", jsons.pick(F.col("content"), F.array(*map(F.lit, hypotheses))))
+        sent = asked.select("question") if sent is None else sent.unionByName(asked.select("question"))
+    named = answers.select("request_id", jsons.pick(F.col("content"), F.array(*map(F.lit, hypotheses))).alias("pick"))  # before the join, which then moves no texts
+    picks = asked.filter("slot <> 'critique'").join(named, "request_id", "left")
     if method.combine == "plurality":
         chosen = plurality(picks, ["question"], "pick", hypotheses).select("question", F.col("choice").alias("predicted_class"))
     else:
         chosen = keep_first(picks.filter(F.col("pick").isNotNull()), ["question"], [F.col("slot")]).select("question", F.col("pick").alias("predicted_class"))
-    total = counts.groupBy("question").agg(F.sum("n").alias("n_requests"))
+    total = sent.groupBy("question").agg(F.count("*").alias("n_requests"))
     return questions.select("question").join(chosen, "question", "left").join(total, "question", "left")
 
 
@@ -97,4 +98,4 @@ def as_query(questions: DataFrame, articles: DataFrame, ids: str) -> DataFrame:
 def answered(request_id: Column, prompt: Column, hypotheses: Sequence[str]) -> Column:
     """A stand-in for a model, the same each time: one of the hypotheses by a hash of what was asked, as JSON."""
     place = F.conv(F.substring(F.md5(F.concat_ws("\n", request_id, prompt).cast("binary")), 1, 6), 16, 10).cast("int") % len(hypotheses)
-    return F.format_string('{"prediction": "%s"}', F.element_at(F.array(*map(F.lit, hypotheses)), place + 1))
+    return F.concat(F.lit('{"prediction": "'), F.element_at(F.array(*map(F.lit, hypotheses)), place + 1), F.lit('"}'))

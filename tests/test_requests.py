@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import facts, requests
+from tessera.operators import facts, requests, rounds
 
 
 def test_fan_out_pending_and_chunks(spark):
@@ -40,3 +40,16 @@ def test_facts_recovered_and_filtered(spark):
     f = spark.createDataFrame([("Wire", "high", "asserted", "2026-01-01", "2026-01-02", [(None,)], ["v"], []), ("blocked news", "low", "asserted", "unknown", "2026-01-02", [("Ann",)], [], ["q"])], "source string, extraction_confidence string, polarity string, time string, article_date string, entities array<struct<name:string>>, variant_ids array<string>, linked_fd_ids array<string>")
     got = f.select(facts.reasons(source_block=("blocked",), confidence="medium", named=True, linked=True).alias("r")).collect()
     assert [x["r"] for x in got] == ["entity", "source:blocked"]
+
+
+def test_branches_grow_from_what_was_asked(spark):
+    q = spark.createDataFrame([(1, "one?"), (2, "two?")], "question long, prompt string")
+    m = requests.METHODS["branches"]
+    asked = rounds.first(q, m)
+    answers = asked.filter("request_id <> '2::branches::r0::a1'").select("request_id", F.concat(F.lit("said "), "slot").alias("content"))
+    second = rounds.following(q, m, 1, asked, answers)
+    want = {(k, f"a{i}.a{j}", f"{w}?\nThought:\n" + ("" if (k, i) == (2, 1) else f"said a{i}")) for k, w in ((1, "one"), (2, "two")) for i in range(3) for j in range(3)}
+    assert {(r["question"], r["slot"], r["prompt"]) for r in second.collect()} == want and second.count() == len(want)
+    assert second._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the questions are not read again
+    third = rounds.following(q, m, 2, second, second.select("request_id", F.lit("x").alias("content")))
+    assert third.count() == 54 and {r["prompt"] for r in third.collect()} == {"one?\nThought:\nx", "two?\nThought:\nx"}
