@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, texts, urls
@@ -193,12 +194,11 @@ def experiment_horizon(spark, sf_dir):
 
 @query("""WITH s AS (SELECT user_id, event_type, value, ts, event_id, sum(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS mass FROM events) SELECT event_id, round(mass, 4) AS mass FROM s WHERE mass >= 100""")
 def daily_mentions_filter(spark, sf_dir):
-    """Rows whose composite key of user, type and day sums to a minimum."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    mass = e.groupBy("user_id", "event_type", "day").agg(F.sum("value").alias("mass")).filter("mass >= 100")
-    keys = ("user_id", "event_type", "day")
-    same = [e[k].eqNullSafe(mass[k]) for k in keys]  # a null is a key of its own, as in a window
-    return e.join(mass, same).select(e["event_id"], F.round("mass", 4).alias("mass"))
+    """Rows whose composite key of user, type and day sums to a minimum; a key's values are added one by one in the order of events, as sums of doubles depend on it."""
+    key = W.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("event_id", "value").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    e = table(spark, sf_dir, "events").withColumn("mass", F.sum("value").over(key)).filter("mass >= 100")
+    scaled = F.col("mass") * 10000  # the SQL's round takes the product too, and leaves what would overflow
+    return e.select("event_id", F.when(scaled < float("inf"), F.round(scaled) / 10000).otherwise(F.col("mass")).alias("mass"))
 
 
 @query("""SELECT event_id, user_id, event_type FROM (SELECT *, min(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type) AS d0 FROM events) WHERE CAST(ts AS DATE) = d0""")

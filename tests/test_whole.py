@@ -1,9 +1,12 @@
 """Queries over whole tables by brute force, beside their SQL."""
 
 import datetime
+import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+
 from tessera.functions import texts
 from tessera.plans import catalog
 
@@ -73,3 +76,25 @@ def test_mentions_of_null_keys_are_summed(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.queries()["daily_mentions_filter"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 100.0), (2, 100.0), (3, 120.0), (4, 130.0)]
+
+
+def test_mentions_are_added_in_the_order_of_events(spark, tmp_path):
+    """Keys of three to five rows that sum to 100.00 or, by their order, a little less; sums with five decimals, and a very large one."""
+    draw, day, path = random.Random(3), datetime.datetime(2024, 1, 1), f"{tmp_path}/events.parquet"
+    parts = []
+    for user in range(4000):
+        cuts = sorted(draw.randrange(10001) for _ in range(draw.randrange(2, 5)))
+        parts += [(user, (b - a) / 100) for a, b in zip([0, *cuts], [*cuts, 10000], strict=True)]
+    parts += [(-user, draw.randrange(10**6, 10**8) / 1e4 + 5e-5) for user in range(1, 2001)] + [(-3000, 1e305)]
+    draw.shuffle(parts)
+    want = defaultdict(float)
+    for user, value in parts:
+        want[user] += value
+    assert 100 < sum(m < 100 for u, m in want.items() if u >= 0) < 1000
+    events = spark.createDataFrame([(i, u, "a", day, v) for i, (u, v) in enumerate(parts)], "event_id long, user_id long, event_type string, ts timestamp_ntz, value double")
+    events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    got = sorted(map(tuple, catalog.queries()["daily_mentions_filter"](spark, str(tmp_path)).collect()))
+    assert [e for e, _ in got] == [i for i, (u, _) in enumerate(parts) if want[u] >= 100]
+    c = duckdb.connect(config={"threads": 1})  # more threads add in any order
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(c.execute(catalog.oracle_sql()["daily_mentions_filter"]).fetchall())
